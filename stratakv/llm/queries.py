@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratakv.llm import bpe, media, token_counts
+from stratakv.llm import bpe, media, minhash, quality, token_counts
 from stratakv.llm.common import prepare, table
 
 #: Folder of the published vocabulary files; a parameter of the deployment, never copied into the repository.
@@ -23,11 +23,20 @@ def vocabulary(name: str) -> str:
         return os.path.join(TOKENIZERS, name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return bpe.bpe_encode(docs, vocabulary("word_bpe_49k.json"), outputs=("ids_sha256", "decoded_sha256"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return token_counts.token_counts(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -39,7 +48,9 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_bpe": op3_bpe,
+    "op6_minhash": op6_minhash,
     "op7_token_counts": op7_token_counts,
     "op10_media": op10_media,
 }

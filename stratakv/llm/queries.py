@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratakv.llm import bpe, media, minhash, quality, token_counts
+from stratakv.llm import bpe, lines, media, minhash, mixing, quality, token_counts
 from stratakv.llm.common import prepare, table
 
 #: Folder of the published vocabulary files; a parameter of the deployment, never copied into the repository.
@@ -28,11 +29,20 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(table(prepare(spark), sf_dir, "documents"))
+    return done.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return bpe.bpe_encode(docs, vocabulary("word_bpe_49k.json"), outputs=("ids_sha256", "decoded_sha256"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(prepare(spark), sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
@@ -49,10 +59,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_lines": op2_lines,
     "op3_bpe": op3_bpe,
+    "op5_mixing": op5_mixing,
     "op6_minhash": op6_minhash,
     "op7_token_counts": op7_token_counts,
     "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_lines": lines.ORACLE, "op5_mixing": mixing.ORACLE}

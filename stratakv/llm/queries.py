@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import bpe, lines, media, minhash, mixing, quality, token_counts
+from stratakv.llm import bpe, licenses, lines, media, minhash, mixing, quality, token_counts
 from stratakv.llm.common import prepare, table
 
 #: Folder of the published vocabulary files; a parameter of the deployment, never copied into the repository.
@@ -39,6 +39,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(docs, vocabulary("word_bpe_49k.json"), outputs=("ids_sha256", "decoded_sha256"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(prepare(spark), sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(prepare(spark), sf_dir, "documents"))
 
@@ -61,10 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_lines": op2_lines,
     "op3_bpe": op3_bpe,
+    "op4_licenses": op4_licenses,
     "op5_mixing": op5_mixing,
     "op6_minhash": op6_minhash,
     "op7_token_counts": op7_token_counts,
     "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_lines": lines.ORACLE, "op5_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_lines": lines.ORACLE, "op4_licenses": licenses.oracle(), "op5_mixing": mixing.ORACLE}

@@ -2,10 +2,11 @@
 
 1. One pass over the texts: the set of distinct five-word shingles, a fingerprint of that set, a signature of
    ``HASHES`` minima and its ``BANDS`` band keys. Documents with equal sets are one class from here on.
-2. Classes that share a band key are candidates. In a small bucket these are all pairs; in a large one every
-   member is compared with a few pivots (a linear number of pairs), links are joined into components, and only
-   buckets that still hold several components go on: their members are dealt into narrower buckets (two band
-   keys at once, then three, ...), so a large bucket never has all its pairs listed.
+2. Classes that share a band key are candidates. In a small bucket these are all pairs. In a large one every
+   member is compared with a few pivots (a linear number of pairs) and links are joined into components. Only
+   buckets that then still hold several components go on: members outside their largest component are compared
+   with all other members, in blocks of at most ``BLOCK`` by ``BLOCK`` signatures inside one task each, of which
+   only pairs that survive step 3 come out. So no bucket is capped, gathered in one task or listed pair by pair.
 3. Sequential Bayesian verification: signatures are compared batch by batch; a pair is dropped as soon as the
    posterior probability (uniform prior, so an incomplete beta function) that its similarity reaches the threshold
    is under ``MISS``. What survives is verified exactly on the full shingle sets.
@@ -37,10 +38,8 @@ BANDS = HASHES // ROWS
 BATCH, MISS = 16, 1e-6
 #: Similarity at which documents are linked, in hundredths.
 PERCENT = 75
-#: Members of a bucket whose pairs are all listed, and pivots of a larger one.
-SMALL, PIVOTS = 8, 2
-#: Times a large bucket is dealt into narrower ones before the pairs of what is left are listed.
-DEPTH = 3
+#: Members of a bucket whose pairs are all listed, and members of a block of a larger one.
+SMALL, BLOCK = 24, 512
 
 
 @cache
@@ -103,20 +102,61 @@ def promising(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
-            alive, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for k, least in enumerate(need):
-                part = slice(k * BATCH, (k + 1) * BATCH)
-                matches = matches + (x[alive, part] == y[alive, part]).sum(1)
-                go = matches >= least
-                alive, matches = alive[go], matches[go]
-            yield batch.take(pa.array(alive)).select(["a", "b"])
+            x, y = (_matrix(batch.column(k)) for k in (2, 3))
+            yield batch.take(pa.array(_sequential(x, y, np.arange(len(x)), np.arange(len(y)), need))).select(["a", "b"])
 
     sigs = classes.select("doc_id", "sig")
     two = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
     return two.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
+
+
+def _sequential(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, need: tuple[int, ...]) -> np.ndarray:
+    """Which of the pairs ``(x[i], y[j])`` are left after all batches."""
+    alive, matches = np.arange(len(i)), np.zeros(len(i), np.int64)
+    for k, least in enumerate(need):
+        part = slice(k * BATCH, (k + 1) * BATCH)
+        matches = matches + (x[i[alive], part] == y[j[alive], part]).sum(1)
+        go = matches >= least
+        alive, matches = alive[go], matches[go]
+    return alive
+
+
+def promising_in_blocks(torn: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Promising pairs of different components in buckets ``(key, doc_id, component)``, outsiders against all.
+
+    Outsiders are the members that are not in the bucket's largest component. Both sides are dealt into blocks,
+    and each pair of blocks is a group of its own, of a bounded size.
+    """
+    need = least_matches(threshold)
+    counts = torn.groupBy("key", "component").agg(F.count("*").alias("n"))
+    buckets = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    buckets = materialize(buckets.select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("out_blocks")))
+    rows = torn.join(buckets, "key")
+    outer, every = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("out_blocks")), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("all_blocks"))
+    out = rows.where("component <> main").select("key", "doc_id", "component", F.lit(True).alias("outside"), outer.cast("int").alias("o"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("m"))
+    inn = rows.select("key", "doc_id", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("o"), every.cast("int").alias("m"))
+    sides = out.unionByName(inn).join(classes.select("doc_id", "sig"), "doc_id")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, comp, outside = (group.column(c).to_numpy() for c in ("doc_id", "component", "outside"))
+        sig = _matrix(group.column("sig").combine_chunks() if hasattr(group.column("sig"), "combine_chunks") else group.column("sig"))
+        o, m = np.flatnonzero(outside), np.flatnonzero(~outside)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in o:
+            other = m[comp[m] != comp[k]]
+            left = other[_sequential(sig, sig, np.full(len(other), k), other, need)]
+            a.append(np.minimum(ids[left], ids[k]))
+            b.append(np.maximum(ids[left], ids[k]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return sides.groupBy("key", "o", "m").applyInArrow(compare, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs of representatives whose full shingle sets are similar enough. ``pairs`` is materialised."""
 
@@ -134,42 +174,31 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _counted(members: DataFrame) -> DataFrame:
-    """Buckets with two members at least, with the pivots of each."""
-    pivots = [F.min("doc_id"), *(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))) for k in range(1, PIVOTS))]
-    return members.groupBy("key").agg(F.count("*").alias("n"), F.array(*pivots).alias("pivots")).where("n > 1")
-
-
-def near_duplicate_links(classes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> tuple[DataFrame | None, DataFrame | None]:
+def near_duplicate_links(classes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """``(links (a, b), components)`` between classes; ``classes``: sketches with one row for each class, materialised.
 
     ``texts``: the keyed text of their representatives (rows of other documents may be there too).
     """
     members = classes.select("doc_id", F.explode("bands").alias("key"))
-    found: DataFrame | None = None
-    comp: DataFrame | None = None
-    for depth in range(DEPTH + 1):
-        multi = materialize(members.join(_counted(members), "key"))
-        small = multi.where(F.col("n") <= SMALL) if depth < DEPTH else multi
-        left, right = (small.select("key", F.col("doc_id").alias(x)) for x in "ab")
-        pairs = left.join(right, "key").where("a < b").select("a", "b")
-        if depth < DEPTH:
-            stars = multi.where(F.col("n") > SMALL).select("doc_id", F.explode("pivots").alias("p")).where("doc_id <> p")
-            pairs = pairs.unionByName(stars.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")))
-        maybe = materialize(promising(pairs.distinct(), classes, percent / 100))
-        links = verified(maybe, texts, percent)
-        found = materialize(links if found is None else found.unionByName(links))
-        comp = materialize(components(found))
-        if depth == DEPTH:
-            break
-        # large buckets that still hold several components
-        large = multi.where(F.col("n") > SMALL).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        torn = materialize(large.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"))
-        if torn.isEmpty():
-            break
-        again = large.join(torn, "key", "left_semi").select("key", "doc_id").join(classes.select("doc_id", F.explode("bands").alias("more")), "doc_id")
-        members = again.select("doc_id", F.xxhash64(F.least("key", "more"), F.greatest("key", "more"), F.lit(depth)).alias("key"))
-    return found, comp
+    multi = materialize(members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    small, large = multi.where(F.col("n") <= SMALL), multi.where(F.col("n") > SMALL)
+    left, right = (small.select("key", F.col("doc_id").alias(x)) for x in "ab")
+    # pivots: the least member, the one that shares most with others (likely the origin of its copies), any one
+    weight = large.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    pivots = large.join(weight, "doc_id").groupBy("key").agg(F.min("doc_id").alias("p1"), F.max_by("doc_id", "weight").alias("p2"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("p3"))
+    stars = large.join(pivots, "key").select("doc_id", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("p")).where("doc_id <> p")
+    pairs = left.join(right, "key").where("a < b").select("a", "b").unionByName(stars.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")))
+    tried = materialize(promising(pairs.distinct(), classes, percent / 100))
+    links = materialize(verified(tried, texts, percent))
+    comp = materialize(components(links))
+    labelled = large.select("key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    torn = materialize(labelled.join(keys, "key", "left_semi"))
+    if torn.isEmpty():
+        return links, comp
+    more = materialize(promising_in_blocks(torn, classes, percent / 100).join(tried, ["a", "b"], "left_anti"))
+    links = materialize(links.unionByName(verified(more, texts, percent)))
+    return links, materialize(components(links))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,6 +22,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     have = env.get("PYTHONPATH", "").split(":")
     if ROOT not in have:
         env["PYTHONPATH"] = ":".join([ROOT, *filter(None, have)])
+    # texts are long rows: batches of the default 10,000 would take hundreds of MB in each worker
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 
 

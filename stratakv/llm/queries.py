@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import bpe, embeddings, licenses, lines, media, minhash, mixing, quality, token_counts
+from stratakv.llm import bpe, embeddings, licenses, lines, media, minhash, mixing, quality, suffixes, token_counts
 from stratakv.llm.common import prepare, table
 
 #: Folder of the published vocabulary files; a parameter of the deployment, never copied into the repository.
@@ -56,6 +56,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(table(prepare(spark), sf_dir, "documents"), with_bytes=False)
+    return done.select("doc_id", "n_bytes", "n_removed", F.floor(F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(table(prepare(spark), sf_dir, "embeddings"))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_minhash": op6_minhash,
     "op7_token_counts": op7_token_counts,
+    "op8_suffixes": op8_suffixes,
     "op9_embeddings": op9_embeddings,
     "op10_media": op10_media,
 }

@@ -114,9 +114,10 @@ def rare_places(templates: tuple[Template, ...], df: dict[str, int], rare: int =
     return out
 
 
-def _constant(rows: list[str], schema: str, df: DataFrame) -> DataFrame:
+def _constant(rows: list[tuple], columns: str, df: DataFrame) -> DataFrame:
     """Template rows as constants of the plan: bounded by the templates, so they are broadcast."""
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+    values = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    return F.broadcast(df.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t({columns})"))
 
 
 def template_places(found: DataFrame, templates: tuple[Template, ...] = TEMPLATES, coverage: float = COVERAGE, rare: int = RARE) -> DataFrame:
@@ -126,17 +127,17 @@ def template_places(found: DataFrame, templates: tuple[Template, ...] = TEMPLATE
     need: dict[int, int] = {}
     for k, _, _ in index:
         need[k] = need.get(k, 0) + 1
-    postings = _constant(index, "template int, place int, word string", found)
-    wanted = _constant(list(need.items()), "template int, need int", found)
+    postings = _constant(index, "template, place, word", found)
+    wanted = _constant(list(need.items()), "template, need", found)
     # relative positions: one row for each (document, template, begin); all rare words must agree on it
     begun = spots.join(postings, "word").select("row", "template", (F.col("pos") - F.col("place")).alias("start")).where("start >= 0")
     agreed = begun.groupBy("row", "template", "start").agg(F.count("*").alias("n")).join(wanted, "template").where("n = need").select("row", "template", "start")
     body = [(k, at, w, key) for k, t in enumerate(templates) for at, w, key in places(t)]
     sizes = [(k, len(p), sum(key for _, _, key in p)) for k, p in ((k, places(t)) for k, t in enumerate(templates))]
-    expected = agreed.join(_constant(body, "template int, place int, word string, key boolean", found), "template").select("row", "template", "start", (F.col("start") + F.col("place")).alias("pos"), "word", "key")
+    expected = agreed.join(_constant(body, "template, place, word, key", found), "template").select("row", "template", "start", (F.col("start") + F.col("place")).alias("pos"), "word", "key")
     there = expected.join(spots, ["row", "pos", "word"]).groupBy("row", "template", "start").agg(F.count("*").alias("n"), F.count_if("key").alias("n_keys"))
     score = F.col("n") / F.col("n_all")
-    return there.join(_constant(sizes, "template int, n_all int, all_keys int", found), "template").where((F.col("n_keys") == F.col("all_keys")) & (score >= coverage)).select("row", "template", "start", score.alias("score"))
+    return there.join(_constant(sizes, "template, n_all, all_keys", found), "template").where((F.col("n_keys") == F.col("all_keys")) & (score >= coverage)).select("row", "template", "start", score.alias("score"))
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, n_base: int = len(BASE), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,10 +1,74 @@
-"""From raw documents to a mixed, encoded training corpus."""
+"""From raw documents to a mixed, encoded training corpus, in five stages.
+
+Each stage is ``(spark, docs, sf_dir) -> DataFrame`` and works on all rows that the one before it kept. All but the
+last return the columns of ``documents``. ``run`` writes each result to the shared scratch folder and reads it
+again, so a lost executor costs at most the stage that runs.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratakv.llm import bpe, lines, minhash, mixing, quality
+from stratakv.llm.common import keyed_text, materialize, prepare, table
+from stratakv.llm.components import small_enough
+from stratakv.llm.queries import vocabulary
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    prepare(spark)
+    labels = table(spark, sf_dir, "labels").where(~(F.crc32(F.col("doc_id").cast("string")) % 3 == 1))
+    docs = docs.select(*COLUMNS)
+    return quality.keep_good(docs, quality.fit(keyed_text(docs), labels))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go; every document stays. A null text stays null."""
+    done = lines.dedup_lines(docs.select(*COLUMNS))
+    text = F.when(F.col("text").isNotNull(), F.col("_kept"))
+    return done.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("_removed") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays; of rows that repeat an id, one."""
+    docs = docs.select(*COLUMNS)
+    marks = materialize(minhash.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    gone = materialize(marks.where("doc_id is not null and (not kept or n > 1)").select("doc_id", "kept"))
+    once = docs.join(small_enough(gone.select("doc_id")), "doc_id", "left_anti")
+    again = docs.join(small_enough(materialize(gone.where("kept").select("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(again).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in training order."""
+    return mixing.training_copies(docs.select(*COLUMNS))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256``: the training rows as token ids."""
+    return bpe.bpe_encode(docs, vocabulary("word_bpe_49k.json"), outputs=("ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("BPE encoding and decoding", encoding_stage),
+]
+
+#: SQL can't express the classifier or the tokenizer; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs)
+    return docs

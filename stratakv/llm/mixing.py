@@ -48,10 +48,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return free.select("source", "source_size", "weight", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("open.level") * F.col("weight")).alias("target"))
 
 
-def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None) -> DataFrame:
+def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, taken_only: bool = False) -> DataFrame:
     """The rows of ``docs`` with ``_size, _source_size, _target, _slope, _begin`` (words of its source before it).
 
-    ``size``: words of each row, where they are known already.
+    ``size``: words of each row, where they are known already; ``taken_only``: may leave out rows that the mix takes
+    no words of, before their texts are moved.
     """
     names = {"_size", "_source_size", "_target", "_slope", "_begin", "_hash", "_bucket", "_before"}
     own = docs.drop(*names).withColumn("_size", word_count(F.col(f"`{text_col}`")) if size is None else size).withColumn("_hash", F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))).withColumn("_bucket", F.substring("_hash", 1, HEX))
@@ -62,13 +63,19 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     slope = F.element_at(F.array(*map(F.lit, SLOPES)), F.col("weight"))
     both = materialize(before.join(targets, before["source"].eqNullSafe(targets["source"])).select(before["source"].alias("_s"), F.col("bucket").alias("_b"), "_before", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), slope.alias("_slope")))
     joined = own.join(both, own[f"`{source_col}`"].eqNullSafe(both["_s"]) & (own["_bucket"] == both["_b"])).drop("_s", "_b")
+    if taken_only:  # whole buckets that the last pass over their source does not reach
+        joined = joined.where((_passes() > 0) | (F.col("_before") < F.col("_target")))
     inside = Window.partitionBy(F.col(f"`{source_col}`"), "_bucket").orderBy("_hash", F.col(f"`{id_col}`"), "_size").rowsBetween(Window.unboundedPreceding, -1)
     return joined.withColumn("_begin", F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))).drop("_hash", "_bucket", "_before")
 
 
+def _passes() -> Column:
+    return F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0))
+
+
 def taken_words() -> Column:
     """Whole passes over the source, and of the last one what is left, up to the document's own words."""
-    passes = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0))
+    passes = _passes()
     rest = F.col("_target") - passes * F.col("_source_size") - F.col("_begin")
     return (passes * F.col("_size") + F.least(F.greatest(F.floor(rest), F.lit(0)), F.col("_size"))).cast("long")
 
@@ -97,7 +104,7 @@ def training_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` as trained on: each row as often as the mix takes it (to the nearest whole copy), in training order."""
     prepare(docs.sparkSession)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    plan = schedule(docs, id_col, text_col, source_col).withColumn("_taken", taken_words())
+    plan = schedule(docs, id_col, text_col, source_col, taken_only=True).withColumn("_taken", taken_words())
     copies = F.when(F.col("_size") > 0, F.round(F.col("_taken") / F.col("_size"))).otherwise(0).cast("int")
     each = plan.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     placed = each.withColumn("_at", due(F.col("_begin") + F.col("_copy") * F.col("_source_size")))

@@ -125,36 +125,61 @@ def _sequential(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, need
     return alive
 
 
-def promising_in_blocks(torn: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Promising pairs of different components in buckets ``(key, doc_id, component)``, outsiders against all.
+def links_in_blocks(torn: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between components in buckets ``(band, key, doc_id, component)``, outsiders against all.
 
-    Outsiders are the members that are not in the bucket's largest component. Both sides are dealt into blocks,
-    and each pair of blocks is a group of its own, of a bounded size.
+    Outsiders are the members that are not in the bucket's largest component. Both sides are dealt into blocks, and
+    each pair of blocks is a group of its own, of a bounded size: there pairs go through the sequential test and
+    what is left is verified on the full sets. A pair is looked at in the first band only that both agree on. Of an
+    outsider's links into one component, one comes out of a group: the others would join nothing more.
     """
-    need = least_matches(threshold)
+    need = least_matches(percent / 100)
     counts = torn.groupBy("key", "component").agg(F.count("*").alias("n"))
     buckets = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
     buckets = materialize(buckets.select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("out_blocks")))
     rows = torn.join(buckets, "key")
     outer, every = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("out_blocks")), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("all_blocks"))
-    out = rows.where("component <> main").select("key", "doc_id", "component", F.lit(True).alias("outside"), outer.cast("int").alias("o"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("m"))
-    inn = rows.select("key", "doc_id", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("o"), every.cast("int").alias("m"))
-    sides = out.unionByName(inn).join(classes.select("doc_id", "sig"), "doc_id")
+    out = rows.where("component <> main").select("band", "key", "doc_id", "component", F.lit(True).alias("outside"), outer.cast("int").alias("o"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("m"))
+    inn = rows.select("band", "key", "doc_id", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("o"), every.cast("int").alias("m"))
+    own = materialize(torn.select("doc_id").distinct())
+    sets = materialize(_with_sets(texts.join(small_enough(own), "doc_id")).join(classes.select("doc_id", "sig", "bands"), "doc_id"))
+    sides = out.unionByName(inn).join(sets, "doc_id")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
+        column = lambda c: group.column(c).combine_chunks() if isinstance(group.column(c), pa.ChunkedArray) else group.column(c)
         ids, comp, outside = (group.column(c).to_numpy() for c in ("doc_id", "component", "outside"))
-        sig = _matrix(group.column("sig").combine_chunks() if hasattr(group.column("sig"), "combine_chunks") else group.column("sig"))
-        o, m = np.flatnonzero(outside), np.flatnonzero(~outside)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in o:
-            other = m[comp[m] != comp[k]]
-            left = other[_sequential(sig, sig, np.full(len(other), k), other, need)]
-            a.append(np.minimum(ids[left], ids[k]))
-            b.append(np.maximum(ids[left], ids[k]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        band, sig = group.column("band")[0].as_py(), _matrix(column("sig"))
+        bands = column("bands").flatten().to_numpy().reshape(len(ids), BANDS)
+        grams = [np.frombuffer(g, np.uint64) for g in column("grams").to_pylist()]
+        size = np.array([len(g) for g in grams])
+        inside = np.flatnonzero(~outside)
+        a, b = [], []
+        for k in np.flatnonzero(outside).tolist():
+            other = inside[(comp[inside] != comp[k]) & ((bands[inside] == bands[k]).argmax(1) == band)]
+            other = other[_sequential(sig, sig, np.full(len(other), k), other, need)]
+            if not len(other):
+                continue
+            flat = np.concatenate([grams[i] for i in other])
+            at = np.minimum(np.searchsorted(grams[k], flat), size[k] - 1)
+            both = np.add.reduceat((grams[k][at] == flat).astype(np.int64), np.cumsum(size[other]) - size[other])
+            linked = other[100 * both >= percent * (size[k] + size[other] - both)]
+            _, one = np.unique(comp[linked], return_index=True)
+            a += [int(ids[k])] * len(one)
+            b += ids[linked[one]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return sides.groupBy("key", "o", "m").applyInArrow(compare, "a long, b long")
+
+
+def _with_sets(texts: DataFrame) -> DataFrame:
+    """``doc_id, grams binary``: the sorted shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g.tobytes() for g in shingle_sets(batch.column(1))], pa.binary())], ["doc_id", "grams"])
 
-    return sides.groupBy("key", "o", "m").applyInArrow(compare, "a long, b long").distinct()
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, grams binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -179,7 +204,7 @@ def near_duplicate_links(classes: DataFrame, texts: DataFrame, percent: int = PE
 
     ``texts``: the keyed text of their representatives (rows of other documents may be there too).
     """
-    members = classes.select("doc_id", F.explode("bands").alias("key"))
+    members = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
     multi = materialize(members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     small, large = multi.where(F.col("n") <= SMALL), multi.where(F.col("n") > SMALL)
     left, right = (small.select("key", F.col("doc_id").alias(x)) for x in "ab")
@@ -191,13 +216,12 @@ def near_duplicate_links(classes: DataFrame, texts: DataFrame, percent: int = PE
     tried = materialize(promising(pairs.distinct(), classes, percent / 100))
     links = materialize(verified(tried, texts, percent))
     comp = materialize(components(links))
-    labelled = large.select("key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    labelled = large.select("band", "key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     torn = materialize(labelled.join(keys, "key", "left_semi"))
     if torn.isEmpty():
         return links, comp
-    more = materialize(promising_in_blocks(torn, classes, percent / 100).join(tried, ["a", "b"], "left_anti"))
-    links = materialize(links.unionByName(verified(more, texts, percent)))
+    links = materialize(links.unionByName(links_in_blocks(torn, classes, texts, percent)))
     return links, materialize(components(links))
 
 

@@ -90,7 +90,7 @@ def leaf_links(classes: DataFrame, n: int, tables: range, floor: float, size: in
         return pa.table({"u": np.repeat(ids, near.shape[1])[good.ravel()], "v": ids[near][good], "sim": sim[good]})
 
     coded = materialize(classes.select("id", "vec", "dim").mapInArrow(code, "id long, dim int, t int, code long"))
-    counts = coded.groupBy("dim", "t", "code").agg(F.count("*").alias("n")).where("n > 1")
+    counts = materialize(coded.groupBy("dim", "t", "code").agg(F.count("*").alias("n")).where("n > 1"))
     # a leaf over the bound is dealt into random parts; other tables deal it in other ways
     leaves = coded.join(counts, ["dim", "t", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), F.ceil(F.col("n") / LEAF)))
     return leaves.join(classes.select("id", "vec"), "id").groupBy("dim", "t", "code", "part").applyInArrow(compare, "u long, v long, sim double")
@@ -147,7 +147,7 @@ def descend(graph: DataFrame, classes: DataFrame, floor: float, size: int = LIST
 
 def enlarged(component: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """``(counts (id, n), links (a, b))`` of all pairs inside each component ``(id, component)``, in blocks."""
-    sizes = component.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = materialize(component.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     dealt = component.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = dealt.select("id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))

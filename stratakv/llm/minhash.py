@@ -205,19 +205,22 @@ def near_duplicate_links(classes: DataFrame, texts: DataFrame, percent: int = PE
     ``texts``: the keyed text of their representatives (rows of other documents may be there too).
     """
     members = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    multi = materialize(members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    # counts are written first: a join of two exchanges can split the partition of a key that very many members share
+    shared = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    multi = materialize(members.join(shared, "key"))
     small, large = multi.where(F.col("n") <= SMALL), multi.where(F.col("n") > SMALL)
     left, right = (small.select("key", F.col("doc_id").alias(x)) for x in "ab")
     # pivots: the least member, the one that shares most with others (likely the origin of its copies), any one
-    weight = large.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    weight = large.groupBy("doc_id").agg(F.sum("n").alias("weight"))  # at most a row for each band
     pivots = large.join(weight, "doc_id").groupBy("key").agg(F.min("doc_id").alias("p1"), F.max_by("doc_id", "weight").alias("p2"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("p3"))
+    pivots = materialize(pivots)
     stars = large.join(pivots, "key").select("doc_id", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("p")).where("doc_id <> p")
     pairs = left.join(right, "key").where("a < b").select("a", "b").unionByName(stars.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")))
     tried = materialize(promising(pairs.distinct(), classes, percent / 100))
     links = materialize(verified(tried, texts, percent))
     comp = materialize(components(links))
     labelled = large.select("band", "key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    keys = materialize(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"))
     torn = materialize(labelled.join(keys, "key", "left_semi"))
     if torn.isEmpty():
         return links, comp

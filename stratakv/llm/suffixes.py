@@ -308,13 +308,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prepare(docs.sparkSession)
     texts = keyed_text(docs, id_col, text_col)
     every = runs(texts)
-    by_h = every.groupBy("h").agg(F.count("*").alias("n"), F.min("r").alias("x"), F.max("r").alias("y")).where("n > 1").select("h", (F.col("x") != F.col("y")).alias("mixed"))
+    # written first: a join of two exchanges can split the partition of an anchor that very many runs share
+    by_h = materialize(every.groupBy("h").agg(F.count("*").alias("n"), F.min("r").alias("x"), F.max("r").alias("y")).where("n > 1").select("h", (F.col("x") != F.col("y")).alias("mixed")))
     again = materialize(every.join(by_h, "h"))
     mixed = again.where("mixed")
     # one run of each kind stands for it in its bucket
     kinds = mixed.groupBy("h", "r").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "t", "at")).alias("one"))
-    sizes = kinds.groupBy("h").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
-    members = materialize(kinds.join(sizes, "h").select("h", "r", "c", "one.*", "parts"))
+    kinds = materialize(kinds.select("h", "r", "c", "one.*"))
+    sizes = materialize(kinds.groupBy("h").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")))
+    members = materialize(kinds.join(sizes, "h").select("h", "r", "c", "doc_id", "t", "at", "parts"))
     whole = again.where("not mixed").select("doc_id", "t", "at").unionByName(mixed.join(members.where("c > 1").select("h", "r"), ["h", "r"]).select("doc_id", "t", "at"))
     item = F.struct("at", F.col("h"), F.col("c"), F.col("parts"))
     none = F.lit(None)

@@ -14,7 +14,7 @@ from stratakv.operators import tiers, ttl
 from stratakv.operators.lru import Cache
 from stratakv.operators.ring import Ring
 from stratakv.plans.config import StoreConfig
-from stratakv.session import prepare
+from stratakv.session import materialize, prepare
 from stratakv.sources.objects import Backend, MemoryBackend
 from stratakv.sources.oplog import ENTRY
 from stratakv.sources.versions import VersionedTable
@@ -31,7 +31,8 @@ class WrongShard(ValueError):
 class Engine:
     """Disk entries in a versioned table, objects in a backend, a cache of keys on the driver (bounded by its limits).
 
-    Every time is given (``as_of``), so a run can be repeated. Writes are batches: one new table version each.
+    Every time is given (``as_of``), so a run can be repeated. Writes are batches: one new table version each. What a
+    batch returns is written to the scratch folder first, as old versions go.
     """
 
     spark: SparkSession
@@ -64,8 +65,9 @@ class Engine:
         now = ttl.moment(as_of)
         fresh = rows.select("key", "value", now.alias("created_at"), now.alias("updated_at"), ttl_secs.alias("ttl_secs"))
         old = self.disk.read()
+        replaced = materialize(fresh.select("key").join(old.select("key", F.col("value").alias("previous")), "key", "left"))
         self.disk.write(old.join(fresh.select("key"), "key", "left_anti").unionByName(fresh))
-        return fresh.select("key").join(old.select("key", F.col("value").alias("previous")), "key", "left")
+        return replaced
 
     def get_batch(self, keys: DataFrame) -> DataFrame:
         return tiers.lookup(keys, self._tiers())
@@ -76,13 +78,14 @@ class Engine:
     def delete_batch(self, keys: DataFrame) -> DataFrame:
         """``key, deleted``; the keys go from every tier."""
         left, marks = tiers.delete_everywhere(keys, {"disk": self.disk.read(), "object": self._object_rows()})
+        marks = materialize(marks)
         self.disk.write(left["disk"])
         self.objects.delete(keys.select(F.concat(F.lit(self.config.object_prefix), object_key(F.col("key"))).alias("object_key")))
         return marks
 
     def expire(self, as_of: str) -> int:
         """Removes expired keys from all tiers; how many were found (on disk)."""
-        gone = ttl.expired_keys(self.disk.read(), self.config.ttl_rules, as_of).select("key")
+        gone = materialize(ttl.expired_keys(self.disk.read(), self.config.ttl_rules, as_of).select("key"))
         n = gone.count()
         if n:
             self.delete_batch(gone)
@@ -103,7 +106,7 @@ class Engine:
     def migrate(self, as_of: str) -> int:
         """Moves one batch of candidates to the object tier. The cache keeps what it holds."""
         disk = self.disk.read()
-        chosen = moving.candidates(disk, as_of, self.config.migration_age_secs, self.config.migration_batch, self.usage_percent() > 80.0)
+        chosen = materialize(moving.candidates(disk, as_of, self.config.migration_age_secs, self.config.migration_batch, self.usage_percent() > 80.0))
         objects = moving.to_objects(chosen, self.config.object_prefix)
         n = chosen.count()
         if n:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratakv.session import materialize
 from stratakv.sources.versions import VersionedTable
 
 OBJECT = T.StructType([T.StructField("object_key", T.StringType()), T.StructField("value", T.StringType()), T.StructField("size_bytes", T.LongType()), T.StructField("created_at", T.TimestampNTZType()), T.StructField("original_key", T.StringType()), T.StructField("content_type", T.StringType())])
@@ -41,7 +42,7 @@ class Backend(ABC):
 
 
 class MemoryBackend(Backend):
-    """Objects as a DataFrame of this session."""
+    """Objects of this session; each change is written to the scratch folder, so rows don't hang on their sources."""
 
     def __init__(self, spark: SparkSession):
         self._rows = spark.createDataFrame([], OBJECT)
@@ -50,10 +51,11 @@ class MemoryBackend(Backend):
         return self._rows
 
     def put(self, rows: DataFrame) -> None:
-        self._rows = self._rows.join(rows.select("object_key"), "object_key", "left_anti").unionByName(rows)
+        rows = materialize(rows)
+        self._rows = materialize(self._rows.join(rows.select("object_key"), "object_key", "left_anti").unionByName(rows))
 
     def delete(self, keys: DataFrame) -> None:
-        self._rows = self._rows.join(keys.select("object_key"), "object_key", "left_anti")
+        self._rows = materialize(self._rows.join(keys.select("object_key"), "object_key", "left_anti"))
 
     def clear(self) -> None:
         self._rows = self._rows.limit(0)

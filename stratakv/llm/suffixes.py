@@ -13,8 +13,9 @@ is to be decided are sorted:
    ``PERIOD``) of the places, ranks of 16, 32, 64 and 128 bytes are computed by doubling. The suffixes of a
    bucket that start at one distance are sorted by two cover ranks; only ties look at the at most 14 bytes between.
    A block holds ``BLOCK_ROWS`` runs whatever the corpus, so memory is bounded.
-4. A bucket with more than ``HOT`` runs is dealt into parts, each sorted on its own; strings that stay single in their
-   part are then counted across parts by 128-bit fingerprints (aggregated map-side first).
+4. A bucket with more than ``HOT`` runs is dealt into parts, each sorted on its own. Sorting the bytes after the anchor
+   by range, and those before it, gives how far each run agrees with any other at all; strings within these bounds
+   that stay single in their part are counted across parts by 128-bit fingerprints (aggregated map-side first).
 
 Repeats never cross documents. Defined results: null texts count as empty; texts under ``WINDOW`` bytes lose nothing;
 rows that repeat a text lose all of it (if it is long enough), also when they repeat the id; an empty table gives
@@ -197,11 +198,45 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 FOUND = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("spans", pa.list_(pa.int64())), ("open", pa.list_(pa.int64())), ("prints", pa.list_(pa.binary()))])
 
 
+def shared_length(contexts: DataFrame) -> DataFrame:
+    """``h, context, ext``: the most leading bytes that a context has in common with another of its bucket.
+
+    In sorted order that is with a neighbour. Contexts are sorted by range over all tasks, equal ones once (they agree
+    in full); at the ends of a partition, where a neighbour is out of sight, the full length is the safe answer.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def common(a: bytes, b: bytes) -> int:
+            n = min(len(a), len(b))
+            differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+            return int(differ[0]) if len(differ) else n
+
+        held, before = None, None  # a row waits for the one after it
+        for batch in batches:
+            out = []
+            for h, c, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                link = None if held is None else common(held[1], c) if held[0] == h else 0
+                if held is not None:
+                    out.append((held[0], held[1], len(held[1]) if held[2] > 1 or before is None else max(before, link)))
+                held, before = (h, c, n), link
+            yield rows(out)
+        if held is not None:
+            yield rows([(held[0], held[1], len(held[1]))])
+
+    def rows(x: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in x], pa.int64()), pa.array([r[1] for r in x], pa.binary()), pa.array([r[2] for r in x], pa.int32())], ["h", "context", "ext"])
+
+    n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = contexts.groupBy("h", "context").agg(F.count("*").alias("n"))
+    return once.repartitionByRange(n, "h", "context").sortWithinPartitions("h", "context").mapInArrow(run, "h long, context binary, ext int")
+
+
 def sort_blocks(regions: DataFrame) -> DataFrame:
-    """``doc_id, t, spans, open, prints`` for runs ``h, part, parts, c, doc_id, t, at, bytes`` clustered by ``h, part``.
+    """``doc_id, t, spans, open, prints`` for runs ``h, part, parts, c, doc_id, t, at, bytes, before, after`` by ``h, part``.
 
     ``spans``: first and end of ranges of starts that repeat. Of buckets in several parts, ``prints`` has fingerprints
     of the strings that are the only or first of their kind in the part, ``open`` their starts (-1: repeats already).
+    ``before, after``: bytes before and after the anchor in which such a run agrees with any other.
     """
 
     def settle(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -219,6 +254,7 @@ def sort_blocks(regions: DataFrame) -> DataFrame:
         bucket = np.cumsum(change)
         repeated = repeated_starts(rows, bucket, distance, starts)
         single = t.column("c").to_numpy() == 1
+        before, after = t.column("before").to_numpy(), t.column("after").to_numpy()
         spans: list[list[int]] = [[] for _ in range(n)]
         r, a, b = _ranges(repeated & single[:, None])
         begin = lo - (REACH - distance)
@@ -232,7 +268,8 @@ def sort_blocks(regions: DataFrame) -> DataFrame:
             seen: set[tuple[int, bytes]] = set()
             for i in group.tolist():
                 raw, f = rows[i].tobytes(), int(REACH - distance[i])
-                for s in range(f, f + int(starts[i])):
+                # a string has REACH - s bytes before the anchor and s after it
+                for s in range(max(f, REACH - int(before[i])), min(f + int(starts[i]), int(after[i]) + 1)):
                     known = repeated[i, s] or not single[i]
                     print_ = hashlib.blake2b(raw[s : s + WINDOW], digest_size=15).digest() + bytes([s])
                     if known and (s, print_) in seen:
@@ -325,7 +362,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_doc = both.groupBy("doc_id", "t").agg(F.collect_list("x").alias("runs"))
     listed = by_doc.groupBy("doc_id").agg(F.collect_list(F.struct("t", "runs")).alias("lists"))
     cut = materialize(_cut(texts.join(listed.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "lists"), with_bytes))
-    regions = cut.where("kind = 2").select("h", F.pmod(F.xxhash64("doc_id", "at"), F.col("parts")).cast("int").alias("part"), "parts", "c", "doc_id", "t", "at", "bytes")
+    regions = cut.where("kind = 2").select("h", F.pmod(F.xxhash64("doc_id", "at"), F.col("parts")).cast("int").alias("part"), "parts", "c", "doc_id", "t", "at", "bytes", "left", "right")
+    dealt = regions.where("parts > 1")
+    for side, name in (("left", "before"), ("right", "after")):
+        known = shared_length(dealt.select("h", F.col(side).alias("context")))
+        dealt = dealt.join(known.select("h", F.col("context").alias(side), F.col("ext").alias(name)), ["h", side])
+    plain = regions.where("parts = 1").withColumn("before", F.lit(REACH)).withColumn("after", F.lit(REACH))
+    columns = ("h", "part", "parts", "c", "doc_id", "t", "at", "bytes", "before", "after")
+    regions = plain.select(*columns).unionByName(dealt.select(*columns))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(sort_blocks(regions.repartition(n, "h", "part").sortWithinPartitions("h", "part")))
     # strings of dealt buckets: single in their part, but known to another one
@@ -350,7 +394,7 @@ def _finish(with_bytes: bool):
 
 def _cut(joined: DataFrame, with_bytes: bool) -> DataFrame:
     """Documents that are settled (kind 0), documents that wait for the sort (1), and runs with their bytes (2)."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("bytes", pa.binary()), ("sha", pa.string()), ("t", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("parts", pa.int32()), ("at", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("bytes", pa.binary()), ("sha", pa.string()), ("t", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("parts", pa.int32()), ("at", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
 
     def table(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
@@ -381,8 +425,11 @@ def _cut(joined: DataFrame, with_bytes: bool) -> DataFrame:
                     for col, v in zip(settled, (ids[k], text, spans), strict=True):
                         col.append(v)
                 for y in own:
-                    at = y["at"]
-                    members.append((ids[k], t, y["h"], y["c"], y["parts"], at, text[at >> 20 : (at >> 20) + (at >> 10 & 1023) + WINDOW - 1]))
+                    at, a = y["at"], y["at"] & 1023
+                    read = text[at >> 20 : (at >> 20) + (at >> 10 & 1023) + WINDOW - 1]
+                    # what surrounds the anchor, outwards: only dealt buckets need it
+                    sides = (read[:a][::-1], read[a + GRAM :]) if y["parts"] > 1 else (None, None)
+                    members.append((ids[k], t, y["h"], y["c"], y["parts"], at, read, *sides))
             if settled[0]:
                 r = _result(*settled, with_bytes)
                 yield table(len(settled[0]), kind=[0] * len(settled[0]), doc_id=r[0], n_bytes=r[1], n_removed=r[2], spans=r[3], bytes=r[4], sha=r[5])
@@ -390,6 +437,6 @@ def _cut(joined: DataFrame, with_bytes: bool) -> DataFrame:
                 yield table(len(waiting[0]), kind=[1] * len(waiting[0]), doc_id=waiting[0], bytes=waiting[1], spans=waiting[2], t=waiting[3])
             if members:
                 c = list(zip(*members, strict=True))
-                yield table(len(members), kind=[2] * len(members), doc_id=c[0], t=c[1], h=c[2], c=c[3], parts=c[4], at=c[5], bytes=c[6])
+                yield table(len(members), kind=[2] * len(members), doc_id=c[0], t=c[1], h=c[2], c=c[3], parts=c[4], at=c[5], bytes=c[6], left=c[7], right=c[8])
 
-    return joined.mapInArrow(run, "kind int, doc_id long, n_bytes long, n_removed long, spans array<long>, bytes binary, sha string, t int, h long, c long, parts int, at long")
+    return joined.mapInArrow(run, "kind int, doc_id long, n_bytes long, n_removed long, spans array<long>, bytes binary, sha string, t int, h long, c long, parts int, at long, left binary, right binary")

@@ -94,5 +94,5 @@ def proxy_addresses(env: Mapping[str, str] = os.environ) -> list[str]:
     """Shard addresses of a router: the given list wins, else they follow from the service's name."""
     if given := [x.strip() for x in env.get("SHARD_ADDRESSES", "").split(",") if x.strip()]:
         return given
-    service, port = env.get("SHARD_SERVICE_NAME", "tieredkv"), env_value(env, "SHARD_PORT", 8080, int)
+    service, port = env.get("SHARD_SERVICE_NAME", "stratakv"), env_value(env, "SHARD_PORT", 8080, int)
     return [shard_address(k, service, port, env.get("POD_NAMESPACE", "default")) for k in range(env_value(env, "TOTAL_SHARDS", 1, int))]

@@ -89,7 +89,7 @@ def blob_files(spark: SparkSession, path: str) -> DataFrame:
 class ObjectTier:
     """A backend seen through a bucket name and a key prefix."""
 
-    def __init__(self, backend: Backend, bucket: str = "tieredkv-data", prefix: str = "data/"):
+    def __init__(self, backend: Backend, bucket: str = "stratakv-data", prefix: str = "data/"):
         self.backend, self.bucket, self.prefix = backend, bucket, prefix
 
     def _full(self, keys: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratakv.session import materialize
+
 #: Entries behind from which a replica isn't healthy.
 MAX_LAG = 1000
 
@@ -14,6 +16,26 @@ def numbered(log: DataFrame) -> DataFrame:
     return log.where(F.col("op").isin("put", "delete")).select("seq", "op", "key", "value", "ts", "source_replica")
 
 
+def sequenced(operations: DataFrame, *order: str) -> DataFrame:
+    """Rows with a dense ``seq`` from 1 in the given total order.
+
+    A window over all rows would sort them in one task. Here they are sorted by range, numbered inside each
+    partition, and shifted by the sizes of the partitions before it (one row for each partition).
+    """
+    n = int(operations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # partitions are told apart by what was written, so they are the same when read again
+    placed = materialize(operations.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.withColumn("_at", inside).join(F.broadcast(sizes), "_part").withColumn("seq", (F.col("_base") + F.col("_at")).cast("long")).drop("_part", "_at", "_base")
+
+
+def drained(pending: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(entries handed over, what is pending afterwards)``: all, then none."""
+    return pending, pending.limit(0)
+
+
 def entries_since(log: DataFrame, since: int, batch: int) -> DataFrame:
     """The next ``batch`` entries after ``since``, in order."""
     return log.where(F.col("seq") > since).orderBy("seq").limit(batch)

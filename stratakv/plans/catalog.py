@@ -241,6 +241,15 @@ def lru_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lru.simulate(sharded_log(spark, sf_dir), LRU_BYTES).select("shard", "seq", "op", "key", "hit", F.array_join("evicted", ",").alias("evicted"), "entries", "bytes", "hits", "misses")
 
 
+@query("q19b_lru_read_through")
+def lru_read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads that miss bring the live entry in, evicting others; keys without one stay out."""
+    live = live_of(spark, sf_dir).select("key", F.octet_length("value").alias("held"))
+    reads = log_of(spark, sf_dir).where("op = 'get'").join(live, "key", "left")
+    log = reads.select(ring.Ring(SHARDS).shard_of(F.col("key")).alias("shard"), "seq", "op", "key", F.col("held").alias("size"))
+    return lru.simulate(log, LRU_BYTES, read_through=True).select("shard", "seq", "key", "hit", F.array_join("evicted", ",").alias("evicted"), "bytes")
+
+
 @query("q20_cache_stats", "SELECT count(*) AS entries, coalesce(sum(octet_length(encode(value))), 0)::BIGINT AS bytes FROM l1")
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.usage(three_tiers(spark, sf_dir)["memory"], 0).select("entries", "bytes")
@@ -330,6 +339,13 @@ def log_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replica.entries_since(replica.numbered(log_of(spark, sf_dir)), 500, 100).select("seq", "op", "key", "value")
 
 
+@query("q25b_sequence", "SELECT key, op, row_number() OVER (ORDER BY ts, seq) AS number FROM writes")
+def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense sequence numbers of the writes, without a window over all rows."""
+    writes = oplog.writes(log_of(spark, sf_dir)).select("key", "op", "ts", F.col("seq").alias("event"))
+    return replica.sequenced(writes, "ts", "event").select("key", "op", F.col("seq").alias("number"))
+
+
 @query("q26a_log_trim", "SELECT seq, key FROM writes ORDER BY seq DESC LIMIT 250")
 def log_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replica.trimmed(replica.numbered(log_of(spark, sf_dir)), 250).select("seq", "key")
@@ -356,6 +372,12 @@ def receive_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replica.merged(log.where("source_replica = 0"), log.where("source_replica < 2")).select("seq", "key", "arrival")
 
 
+@query("q29c_highest_pending", "SELECT max(seq) AS sequence FROM writes WHERE source_replica < 2")
+def highest_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = replica.numbered(log_of(spark, sf_dir))
+    return replica.highest_sequence(replica.merged(log.where("source_replica = 0"), log.where("source_replica = 1")), 0)
+
+
 @query("q29b_apply_drained", ", a AS (SELECT * FROM writes WHERE seq <= 3000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT key, value, seq FROM a WHERE op = 'put'")
 def apply_drained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A follower's state after it applied a drained part of the log: the latest sequence of each key."""
@@ -407,6 +429,14 @@ def record_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("key", F.col("new.value").cast("string").alias("value"), "new.created_at", "new.ttl_secs", F.col("old.legacy").alias("was_legacy"), F.col("new.legacy").alias("is_legacy"))
 
 
+@query("q34b_legacy_batch", "SELECT key FROM live WHERE seq % 2 = 0 ORDER BY key LIMIT 25")
+def legacy_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next records to rewrite, of a table that holds both formats."""
+    old = F.to_json(F.struct(F.array(F.lit(118)).alias("value"), F.lit("2024-01-01T00:00:00Z").alias("created_at"), F.lit("2024-01-01T00:00:00Z").alias("updated_at"))).cast("binary")
+    raw = live_of(spark, sf_dir).select("key", F.when(F.col("seq") % 2 == 0, old).otherwise(codec.upgrade_records(old)).alias("raw"))
+    return codec.legacy_batch(raw, 25).select("key")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live key set, in key order."""
     return live_of(prepare(spark), sf_dir).select("key", "value", "created_at", "ttl_secs").orderBy("key")

@@ -268,6 +268,14 @@ def test_merge_keeps_order_and_repeats(spark):
     assert replica.highest_sequence(writes(spark, 3).limit(0), 7).first().sequence == 7
 
 
+def test_sequences_are_dense(spark):
+    df = spark.createDataFrame([(k * 7919 % 1000, "x") for k in range(1000)], "t long, v string").repartition(5)
+    got = replica.sequenced(df, "t").orderBy("t").collect()
+    assert [r.seq for r in got] == list(range(1, 1001)) and replica.sequenced(df.limit(0), "t").count() == 0
+    handed, rest = replica.drained(writes(spark, 1))
+    assert (handed.count(), rest.count()) == (1, 0)
+
+
 # -- codecs ----------------------------------------------------------------------------------------------------
 
 

@@ -30,7 +30,7 @@ from stratakv.llm.common import keyed_text, prepare, texts_of
 POS_BITS = 28
 NONE = np.int64(1) << 62
 #: Words kept with their encodings by a worker, and the longest such word. Both bound memory only.
-CACHED_WORDS, CACHED_CHARS = 400_000, 48
+CACHED_WORDS, CACHED_CHARS = 150_000, 48
 #: Cells (rows x width) of one matrix of trees.
 CELLS = 1 << 19
 #: White space of the file's patterns: the Unicode property of this name.
@@ -249,7 +249,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def runs(texts: list[str], limit: int = 1_000_000) -> Iterator[list[str]]:
+def runs(texts: list[str], limit: int = 500_000) -> Iterator[list[str]]:
     """Consecutive texts of about ``limit`` characters, so that memory follows the limit and not the batch."""
     part: list[str] = []
     held = 0

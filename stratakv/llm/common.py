@@ -14,7 +14,7 @@ from stratakv.session import materialize, prepare, scratch_dir, table
 __all__ = ["byte_slices", "keyed_text", "materialize", "narrow", "prepare", "scratch_dir", "table", "text_bytes", "texts_of"]
 
 #: Bytes of text that one numpy pass works on; bounds memory whatever the batch holds.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 
 
 def narrow(df: DataFrame, *names: str) -> DataFrame:

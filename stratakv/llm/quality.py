@@ -32,7 +32,7 @@ SHAPES = 10
 TERMS = BUCKETS + SHAPES * (BINS + 1)
 SAMPLE_ROWS, DIMS, NEIGHBOURS, SHARPNESS = 4096, 48, 11, 8
 BLOCK = 512
-SLICE = 1_500_000
+SLICE = 500_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[65:91] = 1

@@ -40,7 +40,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64, at least ``n`` of each."""
-    return _powers(max(20, int(n).bit_length()))
+    return _powers(max(19, int(n).bit_length()))
 
 
 def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -43,7 +43,7 @@ COLUMNS = REACH + WINDOW
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 BLOCK_ROWS, HOT = 8192, 512
 #: Bytes of one numpy pass; texts are cut into overlapping passes, since only the string itself decides its anchor.
-PASS = 1 << 20
+PASS = 1 << 18
 _INDEX = np.uint64((1 << 24) - 1)
 _BYTE = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

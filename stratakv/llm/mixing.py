@@ -23,10 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratakv.llm.common import materialize, prepare
+from stratakv.llm.components import small_enough
 
 REPEATS, HEX = 3, 3
 #: Change of the drawing rate over time for sources of weight 1, 2 and 3.
 SLOPES = (-0.5, 0.0, 0.5)
+#: Most (source, bucket) rows that are broadcast (about 20 MB); with more sources the join shuffles.
+BROADCAST_BUCKETS = 200_000
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -62,6 +65,7 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     before = narrow.withColumn("_before", F.coalesce(F.sum("size").over(running), F.lit(0))).select("source", "bucket", "_before")
     slope = F.element_at(F.array(*map(F.lit, SLOPES)), F.col("weight"))
     both = materialize(before.join(targets, before["source"].eqNullSafe(targets["source"])).select(before["source"].alias("_s"), F.col("bucket").alias("_b"), "_before", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), slope.alias("_slope")))
+    both = small_enough(both, BROADCAST_BUCKETS)
     joined = own.join(both, own[f"`{source_col}`"].eqNullSafe(both["_s"]) & (own["_bucket"] == both["_b"])).drop("_s", "_b")
     if taken_only:  # whole buckets that the last pass over their source does not reach
         joined = joined.where((_passes() > 0) | (F.col("_before") < F.col("_target")))

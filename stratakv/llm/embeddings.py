@@ -229,3 +229,13 @@ def _counts(links: DataFrame, graph: DataFrame, classes: DataFrame, threshold: f
     more, spanning = enlarged(inside, classes, threshold)
     plain = links.join(inside.select(F.col("id").alias("u")), "u", "left_anti").join(classes.select(F.col("id").alias("v"), "mult"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("mult").alias("n"))
     return materialize(plain.unionByName(more)), pairs.unionByName(spanning)
+
+
+#: The same rows from the cosines of all pairs.
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= {THRESHOLD}),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept FROM embeddings LEFT JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+"""

@@ -83,4 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_lines": lines.ORACLE, "op4_licenses": licenses.oracle(), "op5_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op2_lines": lines.ORACLE,
+    "op4_licenses": licenses.oracle(),
+    "op5_mixing": mixing.ORACLE,
+    "op6_minhash": minhash.ORACLE,
+    "op8_suffixes": suffixes.ORACLE,
+    "op9_embeddings": embeddings.ORACLE,
+}

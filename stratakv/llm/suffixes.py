@@ -440,3 +440,17 @@ def _cut(joined: DataFrame, with_bytes: bool) -> DataFrame:
                 yield table(len(members), kind=[2] * len(members), doc_id=c[0], t=c[1], h=c[2], c=c[3], parts=c[4], at=c[5], bytes=c[6], left=c[7], right=c[8])
 
     return joined.mapInArrow(run, "kind int, doc_id long, n_bytes long, n_removed long, spans array<long>, bytes binary, sha string, t int, h long, c long, parts int, at long, left binary, right binary")
+
+
+#: The same rows by counting every string of the window's length, written in hex.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, s, substr(x, 2 * s + 1, {2 * WINDOW}) AS string FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - {WINDOW - 1})) AS s FROM d)),
+h AS (SELECT doc_id, s FROM w QUALIFY count(*) OVER (PARTITION BY string) > 1),
+i AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {WINDOW} THEN 1 ELSE 0 END AS new FROM h),
+j AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM i),
+g AS (SELECT doc_id, span, min(s) AS a, max(s) + {WINDOW} AS b FROM j GROUP BY ALL),
+k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM g),
+o AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+"""

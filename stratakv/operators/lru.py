@@ -11,9 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratakv.operators.replica import sequenced
+
 OUT = "shard int, seq long, op string, key string, hit boolean, evicted array<string>, entries long, bytes long, hits long, misses long"
 
 
@@ -112,9 +114,6 @@ def hit_rate(hits: DataFrame) -> DataFrame:
 
 
 def recency(log: DataFrame) -> DataFrame:
-    """``key, last_seq, recency``: keys by last access, 1 the most recent.
-
-    The rank spans all keys, so it is taken over one row for each key, after the aggregation.
-    """
-    last = log.groupBy("key").agg(F.max("seq").alias("last_seq"))
-    return last.withColumn("recency", F.row_number().over(Window.orderBy(F.desc("last_seq"))).cast("long"))
+    """``key, last_seq, recency``: keys by last access, 1 the most recent."""
+    last = log.groupBy("key").agg(F.max("seq").alias("last_seq")).withColumn("_back", -F.col("last_seq"))
+    return sequenced(last, "_back").select("key", "last_seq", F.col("seq").alias("recency"))

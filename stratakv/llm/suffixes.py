@@ -77,32 +77,32 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def text_key(text: bytes) -> int:
-    """Tells rows apart that repeat an id with another text."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little", signed=True)
-
-
 def runs(texts: DataFrame) -> DataFrame:
-    """``h, r, doc_id, t, at``: a row for each run; ``at`` packs its first start, its starts and its distance."""
+    """``h, r, doc_id, t, at`` for rows ``doc_id, text, t``: a row for each run.
+
+    ``at`` packs its first start, its starts and its distance; ``t`` tells rows apart that repeat an id with other texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_bytes(batch.column(1))
-            ids, o = batch.column(0), offs.tolist()
+            ids, keys, o = batch.column(0), batch.column(2), offs.tolist()
             held, out = 0, []
             for k in range(batch.num_rows):
                 x = data[o[k] : o[k + 1]]
                 h, r, lo, n, a = anchors(x)
                 if len(h):
-                    out.append((h, r, np.full(len(h), k), np.full(len(h), text_key(x.tobytes()), np.int32), lo << 20 | n << 10 | a))
+                    out.append((h, r, np.full(len(h), k), lo << 20 | n << 10 | a))
                     held += len(h)
                 if out and (held > 200_000 or k == batch.num_rows - 1):
-                    h, r, row, t, at = (np.concatenate(c) for c in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), ids.take(pa.array(row)), pa.array(t), pa.array(at)], ["h", "r", "doc_id", "t", "at"])
+                    yield packed(out, ids, keys)
                     held, out = 0, []
             if out:
-                h, r, row, t, at = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), ids.take(pa.array(row)), pa.array(t), pa.array(at)], ["h", "r", "doc_id", "t", "at"])
+                yield packed(out, ids, keys)
+
+    def packed(out: list, ids: pa.Array, keys: pa.Array) -> pa.RecordBatch:
+        h, r, row, at = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), ids.take(pa.array(row)), keys.take(pa.array(row)), pa.array(at)], ["h", "r", "doc_id", "t", "at"])
 
     return texts.mapInArrow(run, "h long, r long, doc_id long, t int, at long")
 
@@ -343,7 +343,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``spans``: first and end of each maximal removed range; ``kept``: the bytes left, if ``with_bytes``.
     """
     prepare(docs.sparkSession)
-    texts = keyed_text(docs, id_col, text_col)
+    texts = keyed_text(docs, id_col, text_col).withColumn("t", F.hash("text"))
     every = runs(texts)
     # written first: a join of two exchanges can split the partition of an anchor that very many runs share
     by_h = materialize(every.groupBy("h").agg(F.count("*").alias("n"), F.min("r").alias("x"), F.max("r").alias("y")).where("n > 1").select("h", (F.col("x") != F.col("y")).alias("mixed")))
@@ -358,10 +358,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     item = F.struct("at", F.col("h"), F.col("c"), F.col("parts"))
     none = F.lit(None)
     both = whole.select("doc_id", "t", F.struct("at", none.cast("long").alias("h"), none.cast("long").alias("c"), none.cast("int").alias("parts")).alias("x")).unionByName(members.select("doc_id", "t", item.alias("x")))
-    # a document has fewer runs than bytes
-    by_doc = both.groupBy("doc_id", "t").agg(F.collect_list("x").alias("runs"))
-    listed = by_doc.groupBy("doc_id").agg(F.collect_list(F.struct("t", "runs")).alias("lists"))
-    cut = materialize(_cut(texts.join(listed.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "lists"), with_bytes))
+    # a set: rows that repeat an id and a text have the same runs. A document has fewer runs than bytes
+    by_doc = both.groupBy(F.col("doc_id").alias("id"), F.col("t").alias("key")).agg(F.collect_set("x").alias("runs"))
+    joined = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("key")), "left")
+    cut = materialize(_cut(joined.select("doc_id", "text", "t", "runs"), with_bytes))
     regions = cut.where("kind = 2").select("h", F.pmod(F.xxhash64("doc_id", "at"), F.col("parts")).cast("int").alias("part"), "parts", "c", "doc_id", "t", "at", "bytes", "left", "right")
     dealt = regions.where("parts > 1")
     for side, name in (("left", "before"), ("right", "after")):
@@ -378,7 +378,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     late = hot.where("open >= 0").join(shared, "prints", "left_semi").select("doc_id", "t", F.array(F.col("open"), F.col("open") + 1).alias("spans"))
     more = found.where(F.size("spans") > 0).select("doc_id", "t", "spans").unionByName(late).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("spans")).alias("more"))
     waiting = cut.where("kind = 1").select("doc_id", "t", "bytes", "spans")
-    last = waiting.join(more, ["doc_id", "t"], "left").select("doc_id", "bytes", "spans", "more").mapInArrow(_finish(with_bytes), RESULT)
+    more = more.withColumnsRenamed({"doc_id": "id", "t": "key"})
+    last = waiting.join(more, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("key")), "left").select("doc_id", "bytes", "spans", "more").mapInArrow(_finish(with_bytes), RESULT)
     done = cut.where("kind = 0").select("doc_id", "n_bytes", "n_removed", "spans", F.col("bytes").alias("kept"), F.col("sha").alias("kept_sha256"))
     return done.unionByName(last)
 
@@ -404,20 +405,15 @@ def _cut(joined: DataFrame, with_bytes: bool) -> DataFrame:
             ids = batch.column(0).to_pylist()
             settled, waiting, members = ([], [], []), ([], [], [], []), []
             for k in range(batch.num_rows):
-                text, lists = (batch.column(1)[k].as_py() or "").encode(), batch.column(2)[k]
+                text, t, found = (batch.column(1)[k].as_py() or "").encode(), batch.column(2)[k].as_py(), batch.column(3)[k].as_py() or []
                 spans: list[int] = []
-                own = []
-                if lists.is_valid:
-                    t = text_key(text)
-                    for x in lists.as_py():
-                        if x["t"] == t:
-                            own = [y for y in x["runs"] if y["h"] is not None]
-                            for at in sorted(y["at"] for y in x["runs"] if y["h"] is None or y["c"] > 1):
-                                a, b = at >> 20, (at >> 20) + (at >> 10 & 1023)
-                                if spans and a <= spans[-1]:
-                                    spans[-1] = max(spans[-1], b)
-                                else:
-                                    spans += (a, b)
+                own = [y for y in found if y["h"] is not None]
+                for at in sorted(y["at"] for y in found if y["h"] is None or y["c"] > 1):
+                    a, b = at >> 20, (at >> 20) + (at >> 10 & 1023)
+                    if spans and a <= spans[-1]:
+                        spans[-1] = max(spans[-1], b)
+                    else:
+                        spans += (a, b)
                 if any(y["c"] == 1 for y in own):
                     for col, v in zip(waiting, (ids[k], text, spans, t), strict=True):
                         col.append(v)

@@ -11,6 +11,7 @@ from stratakv.functions import codec
 from stratakv.operators import lru, migrate, replica, ring, tiers, ttl
 from stratakv.session import prepare, scratch_dir, table
 from stratakv.sources import oplog
+from stratakv.sources.objects import MemoryBackend, ObjectTier
 
 AS_OF = "2024-01-31 00:00:00"
 #: Overlapping rules, so that the first match differs from the longest.
@@ -146,6 +147,11 @@ def meta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_of(spark, sf_dir).select("key", "created_at", "updated_at", "ttl_secs")
 
 
+@query("q08b_entry_info", "SELECT key, created_at, updated_at, octet_length(encode(value)) AS size_bytes FROM live")
+def entry_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live_of(spark, sf_dir).select("key", "created_at", "updated_at", F.octet_length("value").cast("long").alias("size_bytes"))
+
+
 @query("q09_object_keys", "SELECT key, 'data/' || lower(hex(key)) AS object_key FROM live")
 def object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_of(spark, sf_dir).select("key", F.concat(F.lit("data/"), codec.object_key(F.col("key"))).alias("object_key"))
@@ -384,6 +390,61 @@ def apply_drained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oplog.live(log_of(spark, sf_dir).where("seq <= 3000")).select("key", "value", "seq")
 
 
+# -- objects and the engine ------------------------------------------------------------------------------------
+
+
+def object_tier(spark: SparkSession, sf_dir: str) -> ObjectTier:
+    tier = ObjectTier(MemoryBackend(spark))
+    tier.put(live_of(spark, sf_dir).select("key", "value"), AS_OF)
+    return tier
+
+
+@query("q35_object_list", "SELECT key FROM live WHERE starts_with(key, 'keep/')")
+def object_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return object_tier(spark, sf_dir).list("keep/").select("key")
+
+
+@query("q36_object_head", f"SELECT key, octet_length(encode(value)) AS size_bytes, TIMESTAMP '{AS_OF}' AS created_at, key AS original_key, 'application/octet-stream' AS content_type FROM live WHERE key IN (SELECT key FROM gone)")
+def object_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return object_tier(spark, sf_dir).head(gone_keys(spark, sf_dir)).select("key", "size_bytes", "created_at", "original_key", "content_type")
+
+
+@query("q37_object_exists", "SELECT key FROM live WHERE key IN (SELECT key FROM gone)")
+def object_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return object_tier(spark, sf_dir).exists(gone_keys(spark, sf_dir)).select("key")
+
+
+@query("q38_object_delete_batch", "SELECT key, value, (SELECT count(*) FROM gone WHERE key IN (SELECT key FROM live)) AS removed FROM live WHERE key NOT IN (SELECT key FROM gone)")
+def object_delete_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tier = object_tier(spark, sf_dir)
+    n = tier.delete_batch(gone_keys(spark, sf_dir))
+    return tier.get(live_of(spark, sf_dir).select("key")).select("key", "value", F.lit(n).cast("long").alias("removed"))
+
+
+EARLY, LATE = "2024-01-01 00:00:00", "2024-01-30 12:00:00"
+
+
+@query(
+    "q39_engine_batches",
+    f""", b AS (SELECT key, value, CASE WHEN seq % 2 = 0 THEN TIMESTAMP '{LATE}' ELSE TIMESTAMP '{EARLY}' END AS created_at FROM live WHERE key NOT IN (SELECT key FROM gone)),
+k AS (SELECT * FROM b WHERE NOT {RULE}), m AS (SELECT key FROM k WHERE {OLD} ORDER BY key LIMIT {BATCH})
+SELECT keys.key, k.value, CASE WHEN k.key IS NULL THEN NULL WHEN k.key IN (SELECT key FROM m) THEN 'object' ELSE 'disk' END AS tier FROM keys LEFT JOIN k ON keys.key = k.key""",
+)
+def engine_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store's life in batches: put, put again, delete, expire, migrate, then read every key that ever was."""
+    from stratakv.plans.config import StoreConfig
+    from stratakv.plans.engine import Engine
+
+    engine = Engine(spark, StoreConfig(migration_batch=BATCH, migration_age_secs=AGE, ttl_rules=RULES), scratch_dir(spark))
+    live = live_of(spark, sf_dir)
+    engine.put_batch(live.select("key", "value"), EARLY)
+    engine.put_batch(live.where("seq % 2 = 0").select("key", "value"), LATE)
+    engine.delete_batch(gone_keys(spark, sf_dir))
+    engine.expire(AS_OF)
+    engine.migrate(AS_OF)
+    return engine.get_batch(all_keys(spark, sf_dir)).select("key", "value", "tier")
+
+
 # -- codecs ----------------------------------------------------------------------------------------------------
 
 

@@ -31,8 +31,8 @@ class WrongShard(ValueError):
 class Engine:
     """Disk entries in a versioned table, objects in a backend, a cache of keys on the driver (bounded by its limits).
 
-    Every time is given (``as_of``), so a run can be repeated. Writes are batches: one new table version each. What a
-    batch returns is written to the scratch folder first, as old versions go.
+    Every time is given (``as_of``), so a run can be repeated. Writes are batches: one new segment of the table each.
+    What a batch returns is written to the scratch folder first, as old segments go.
     """
 
     spark: SparkSession
@@ -66,7 +66,7 @@ class Engine:
         fresh = rows.select("key", "value", now.alias("created_at"), now.alias("updated_at"), ttl_secs.alias("ttl_secs"))
         old = self.disk.read()
         replaced = materialize(fresh.select("key").join(old.select("key", F.col("value").alias("previous")), "key", "left"))
-        self.disk.write(old.join(fresh.select("key"), "key", "left_anti").unionByName(fresh))
+        self.disk.apply(upserts=fresh)
         return replaced
 
     def get_batch(self, keys: DataFrame) -> DataFrame:
@@ -77,9 +77,8 @@ class Engine:
 
     def delete_batch(self, keys: DataFrame) -> DataFrame:
         """``key, deleted``; the keys go from every tier."""
-        left, marks = tiers.delete_everywhere(keys, {"disk": self.disk.read(), "object": self._object_rows()})
-        marks = materialize(marks)
-        self.disk.write(left["disk"])
+        marks = materialize(tiers.delete_everywhere(keys, {"disk": self.disk.read(), "object": self._object_rows()})[1])
+        self.disk.apply(deletes=marks.where("deleted"))
         self.objects.delete(keys.select(F.concat(F.lit(self.config.object_prefix), object_key(F.col("key"))).alias("object_key")))
         return marks
 
@@ -111,7 +110,7 @@ class Engine:
         n = chosen.count()
         if n:
             self.objects.put(objects)
-            self.disk.write(disk.join(chosen.select("key"), "key", "left_anti"))
+            self.disk.apply(deletes=chosen)
             self.migrations += n
         return n
 

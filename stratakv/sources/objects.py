@@ -74,10 +74,10 @@ class ParquetBackend(Backend):
         return self.table.read()
 
     def put(self, rows: DataFrame) -> None:
-        self.table.write(self.objects().join(rows.select("object_key"), "object_key", "left_anti").unionByName(rows))
+        self.table.apply(upserts=rows)
 
     def delete(self, keys: DataFrame) -> None:
-        self.table.write(self.objects().join(keys.select("object_key"), "object_key", "left_anti"))
+        self.table.apply(deletes=keys)
 
 
 def blob_files(spark: SparkSession, path: str) -> DataFrame:

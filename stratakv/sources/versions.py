@@ -1,58 +1,117 @@
-"""Tables in versioned folders: a write makes a new folder, then one small file names it as current.
+"""Tables that change by segments: a base and the batches since, folded when read, compacted now and then.
 
-Plain parquet can't be changed in place, and a failed job must not leave half a table. Readers keep the version
-that they opened. Paths go through Hadoop's file system, so a store can be on any of its schemes.
+Plain parquet can't be changed in place, and rewriting a large table for each batch would move all of it. A batch is
+written as a segment of its own (new rows, and tombstones for deleted keys); one small manifest names the segments in
+order, with their row counts, and is replaced as the last step, so a failed job leaves the table as it was. Reading
+takes the last word on each key. Readers keep the segments that they opened; those of the last ``KEEP`` compactions stay.
+Paths go through Hadoop's file system, so a table can be on any of its schemes. There is one writer at a time.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+
+#: Batches until the table is compacted; most rows of all batches that are broadcast when read (keys, and numbers).
+BATCHES, BROADCAST_ROWS = 8, 1_000_000
+KEEP = 2
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, sort_by: str = "key", keep: int = 2):
-        self.spark, self.path, self.schema, self.sort_by, self.keep = spark, path.rstrip("/"), schema, sort_by, keep
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "key"):
+        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+        self.stored = StructType([*schema.fields, StructField("_n", IntegerType()), StructField("_gone", BooleanType())])
+
+    # -- the manifest --------------------------------------------------------------------------------------
 
-    def _fs(self, path: str):
+    def _fs(self, name: str):
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def version(self) -> int:
-        fs, p = self._fs(f"{self.path}/CURRENT")
+    def manifest(self) -> dict:
+        """``{"next": number, "segments": [[number, rows], ...], "old": [[numbers of a compaction], ...]}``; the first is the base."""
+        fs, p = self._fs("MANIFEST")
         if not fs.exists(p):
-            return -1
+            return {"next": 0, "segments": [], "old": []}
         stream = fs.open(p)
         try:
-            return stream.readLong()
+            return json.loads(stream.readUTF())
         finally:
             stream.close()
 
-    def _point_to(self, version: int) -> None:
-        fs, new = self._fs(f"{self.path}/CURRENT.new")
+    def _replace(self, manifest: dict) -> None:
+        fs, new = self._fs("MANIFEST.new")
         stream = fs.create(new, True)
-        stream.writeLong(version)
+        stream.writeUTF(json.dumps(manifest))
         stream.close()
-        _, current = self._fs(f"{self.path}/CURRENT")
+        _, current = self._fs("MANIFEST")
         fs.delete(current, False)
         if not fs.rename(new, current):
-            raise OSError(f"{self.path}: the new version can't be made current")
+            raise OSError(f"{self.path}: the new manifest can't take its place")
+
+    def _scan(self, numbers: list[int]) -> DataFrame:
+        return self.spark.read.schema(self.stored).parquet(*[f"{self.path}/s{n}" for n in numbers])
+
+    # -- reading -------------------------------------------------------------------------------------------
 
     def read(self) -> DataFrame:
-        v = self.version()
-        if v < 0:
+        """The rows as they are now. The base is only filtered (not shuffled while the batches' keys are few)."""
+        segments = self.manifest()["segments"]
+        if not segments:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}")
+        columns = [f.name for f in self.schema]
+        base = self._scan([segments[0][0]]).select(*columns)
+        if len(segments) == 1:
+            return base
+        since = self._scan([n for n, _ in segments[1:]])
+        last = since.groupBy(self.key).agg(F.max_by(F.struct(*[c for c in columns if c != self.key], "_gone"), "_n").alias("l"))
+        touched = since.select(self.key).distinct()
+        if sum(rows for _, rows in segments[1:]) <= BROADCAST_ROWS:
+            touched = F.broadcast(touched)
+        changed = last.where("not l._gone").select(self.key, *[F.col(f"l.{c}").alias(c) for c in columns if c != self.key])
+        return base.join(touched, self.key, "left_anti").unionByName(changed).select(*columns)
+
+    # -- writing -------------------------------------------------------------------------------------------
 
-    def write(self, rows: DataFrame) -> int:
-        """Replaces the table; rows are clustered by key, so that row-group statistics serve point reads."""
-        v = self.version() + 1
+    def _write(self, number: int, rows: DataFrame) -> int:
+        """Clustered by key, so that row-group statistics serve point reads; how many rows it has."""
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        columns = [f.name for f in self.schema]
-        rows.select(*columns).repartitionByRange(n, self.sort_by).sortWithinPartitions(self.sort_by).write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        self._point_to(v)
-        if v - self.keep >= 0:
-            fs, old = self._fs(f"{self.path}/v{v - self.keep}")
-            fs.delete(old, True)
-        return v
+        rows.repartitionByRange(n, self.key).sortWithinPartitions(self.key).write.mode("overwrite").parquet(f"{self.path}/s{number}")
+        return self._scan([number]).count()
+
+    def apply(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> None:
+        """One batch: rows to put (each key once) and keys to delete; a key in both is put."""
+        m = self.manifest()
+        parts = []
+        if upserts is not None:
+            parts.append(upserts.select(*[f.name for f in self.schema]).withColumn("_gone", F.lit(False)))
+        if deletes is not None:
+            keys = deletes.select(self.key).distinct()
+            keys = keys if upserts is None else keys.join(upserts.select(self.key), self.key, "left_anti")
+            empty = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != self.key else F.col(self.key) for f in self.schema]
+            parts.append(keys.select(*empty, F.lit(True).alias("_gone")))
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        n = m["next"]
+        count = self._write(n, rows.withColumn("_n", F.lit(n)))
+        if not m["segments"]:  # nothing to delete from yet: a base
+            count = self._write(n + 1, self._scan([n]).where("not _gone"))
+            m["old"], n = [*m["old"], [n]], n + 1
+        self._replace({"next": n + 1, "segments": [*m["segments"], [n, count]], "old": m["old"]})
+        if len(m["segments"]) >= BATCHES:
+            self.compact()
+
+    def compact(self) -> None:
+        """A new base; segments that an earlier compaction put aside go, the ones of the last stay for their readers."""
+        m = self.manifest()
+        n = m["next"]
+        count = self._write(n, self.read().withColumn("_n", F.lit(n)).withColumn("_gone", F.lit(False)))
+        old = [*m["old"], [k for k, _ in m["segments"]]]
+        self._replace({"next": n + 1, "segments": [[n, count]], "old": old[-KEEP:]})
+        for numbers in old[:-KEEP]:
+            for k in numbers:
+                fs, p = self._fs(f"s{k}")
+                fs.delete(p, True)

@@ -89,3 +89,25 @@ def test_schedule(spark, tmp_path):
     assert s.tick(30, DAY3) == {} and s.tick(61, DAY3) == {"migrated": 0}
     e.put_batch(rows(spark, ("tmp/c", "v")), DAY1)
     assert s.tick(301, DAY3) == {"migrated": 0, "expired": 1}
+
+
+def test_segments_fold_and_compact(spark, tmp_path):
+    from stratakv.sources import versions
+    from stratakv.sources.oplog import ENTRY
+
+    t = versions.VersionedTable(spark, str(tmp_path / "t"), ENTRY)
+    row = lambda *kv: spark.createDataFrame([(k, v, datetime(2024, 1, 1), datetime(2024, 1, 1), None) for k, v in kv], ENTRY)
+    want = {}
+    t.apply(deletes=names(spark, "none"))
+    assert t.read().count() == 0
+    for k in range(versions.BATCHES + 3):
+        put, gone = [(f"k{k}", f"v{k}"), ("same", str(k))], f"k{k - 2}"
+        t.apply(row(*put), names(spark, gone, "same"))
+        want |= dict(put)
+        want.pop(gone, None)
+        assert {r.key: r.value for r in t.read().collect()} == want
+    m = t.manifest()
+    assert len(m["segments"]) < versions.BATCHES and m["next"] > versions.BATCHES
+    before = t.read()
+    t.compact()
+    assert before.count() == t.read().count() == len(want)  # segments that a reader opened are still there

@@ -111,3 +111,36 @@ def test_segments_fold_and_compact(spark, tmp_path):
     before = t.read()
     t.compact()
     assert before.count() == t.read().count() == len(want)  # segments that a reader opened are still there
+
+
+def test_sockets(spark, tmp_path):
+    import urllib.error
+    import urllib.request
+    from threading import Thread
+
+    from stratakv.plans.server import engine_server, router_server
+
+    def call(port, method, path, body=None):
+        try:
+            r = urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{port}{path}", body, method=method), timeout=60)
+            return r.status, r.read().decode()
+        except urllib.error.HTTPError as e:
+            return e.code, e.read().decode()
+
+    shard = engine_server(Engine(spark, StoreConfig(), str(tmp_path)), clock=lambda: DAY1)
+    router = router_server([f"127.0.0.1:{shard.server_port}"], timeout=60)
+    dead = router_server(["127.0.0.1:9"], timeout=1)
+    servers = [shard, router, dead]
+    for s in servers:
+        Thread(target=s.serve_forever, daemon=True).start()
+    try:
+        assert call(router.server_port, "GET", "/health") == (200, "ok")
+        assert call(router.server_port, "PUT", "/kv/k", b'{"value": "1"}')[0] == 201
+        assert json.loads(call(shard.server_port, "GET", "/kv/k")[1]) == {"key": "k", "value": 1, "tier": "memory"}
+        assert call(router.server_port, "GET", "/kv/none")[0] == 404 and call(router.server_port, "GET", "/x")[0] == 404
+        assert call(dead.server_port, "GET", "/kv/k")[0] == 502
+        assert call(shard.server_port, "GET", "/health")[0] == 200
+    finally:
+        for s in servers:
+            s.shutdown()
+            s.server_close()

@@ -11,17 +11,12 @@ from pyspark.sql import functions as F
 
 from stratakv.session import materialize, prepare, scratch_dir, table
 
-__all__ = ["byte_slices", "keyed_text", "materialize", "narrow", "prepare", "scratch_dir", "table", "text_bytes", "texts_of"]
+__all__ = ["byte_slices", "keyed_text", "materialize", "prepare", "scratch_dir", "table", "text_bytes", "texts_of"]
 
 #: Bytes of text that one numpy pass works on; bounds memory whatever the batch holds.
 SLICE_BYTES = 500_000
 
 
-def narrow(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so extra columns with clashing names never meet an operator's own."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` with null text read as empty."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))

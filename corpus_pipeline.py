@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratakv.llm import bpe, lines, minhash, mixing, quality
-from stratakv.llm.common import keyed_text, materialize, prepare, table
+from stratakv.llm.common import keyed_text, materialize, prepare, spread_table, table
 from stratakv.llm.components import small_enough
 from stratakv.llm.queries import vocabulary
 
@@ -66,7 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(prepare(spark), sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -6,17 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratakv.session import materialize, prepare, scratch_dir, table
 
-__all__ = ["byte_slices", "keyed_text", "materialize", "prepare", "scratch_dir", "table", "text_bytes", "texts_of"]
+__all__ = ["byte_slices", "keyed_text", "materialize", "prepare", "scratch_dir", "spread_table", "table", "text_bytes", "texts_of"]
 
 #: Bytes of text that one numpy pass works on; bounds memory whatever the batch holds.
 SLICE_BYTES = 500_000
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's scan; if it has fewer partitions than there are cores (one small file), its rows are dealt to all of them.
+
+    Texts cost far more to work on than to move. A table of many files is scanned as it is.
+    """
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` with null text read as empty."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))

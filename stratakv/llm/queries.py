@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratakv.llm import bpe, embeddings, licenses, lines, media, minhash, mixing, quality, suffixes, token_counts
-from stratakv.llm.common import prepare, table
+from stratakv.llm.common import prepare, spread_table, table
 
 #: Folder of the published vocabulary files; a parameter of the deployment, never copied into the repository.
 TOKENIZERS = os.environ.get("STRATAKV_TOKENIZERS", "/opt/tokenizers")
@@ -26,7 +26,7 @@ def vocabulary(name: str) -> str:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.quality_scores(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(prepare(spark), sf_dir, "documents")
+    docs = spread_table(prepare(spark), sf_dir, "documents")
     return bpe.bpe_encode(docs, vocabulary("word_bpe_49k.json"), outputs=("ids_sha256", "decoded_sha256"))
 
 
@@ -44,20 +44,20 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(prepare(spark), sf_dir, "documents"))
+    return mixing.mix(spread_table(prepare(spark), sf_dir, "documents"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
+    return minhash.near_duplicates(spread_table(prepare(spark), sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(prepare(spark), sf_dir, "documents")
+    docs = spread_table(prepare(spark), sf_dir, "documents")
     return token_counts.token_counts(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = suffixes.remove_repeats(table(prepare(spark), sf_dir, "documents"), with_bytes=False)
+    done = suffixes.remove_repeats(spread_table(prepare(spark), sf_dir, "documents"), with_bytes=False)
     return done.select("doc_id", "n_bytes", "n_removed", F.floor(F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256")
 
 
@@ -66,7 +66,7 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(prepare(spark), sf_dir, "documents")
+    docs = spread_table(prepare(spark), sf_dir, "documents")
     return media.stored_features(media.store_texts(docs))
 
 

@@ -1,10 +1,12 @@
 """Near-duplicate vectors by NN-descent.
 
 1. Equal vectors are one class with a multiplicity; from here on classes stand for their vectors.
-2. First graph: classes that agree on the signs of some random hyperplanes (``TABLES`` times) are compared inside
-   leaves of a bounded size; each keeps its ``LIST`` best neighbours with cosine over a floor.
+2. First graph: classes that agree on the signs of some random hyperplanes are a leaf of a table. All pairs of a
+   leaf are compared (a large one in pairs of blocks), and there are so many tables that a pair at the threshold
+   shares no leaf with probability ``MISS`` at most, whatever the size. Each class keeps its ``LIST`` best neighbours
+   with cosine over a floor.
 3. NN-descent: neighbours of neighbours (in both directions) are joined and compared, lists keep the best, until
-   hardly any list changes. The floor is the cosine of twice the link angle: if v links to a neighbour of u that
+   no list changes but those full of links (step 4 takes these). The floor is the cosine of twice the link angle: if v links to a neighbour of u that
    links to u, cosine(u, v) is not below it (the triangle inequality of angles), so nothing that a path of two
    links reaches is cut off.
 4. A list that is full of links is saturated: it may hide more. Its component's lists are enlarged to the whole
@@ -34,9 +36,12 @@ from stratakv.llm.common import materialize, prepare
 from stratakv.llm.components import components
 
 THRESHOLD = 0.95
-TABLES, LEAF, LIST = 8, 512, 8
-#: Iterations of NN-descent, and the share of new list entries under which it ends.
-ITERATIONS, SETTLED = 4, 0.01
+#: Classes of a leaf aimed at, most classes of a block of a larger one, neighbours in a list.
+AIM, LEAF, LIST = 256, 512, 8
+#: Probability that a pair at the threshold shares no leaf of a round's tables.
+MISS = 1e-3
+#: Lists only get better, so NN-descent ends; iterations after which something is wrong.
+ITERATIONS = 60
 BLOCK = 512
 AUDIT, RECALL, ROUNDS = 512, 0.98, 3
 
@@ -64,9 +69,19 @@ def packed(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, vec binary, dim int")
 
 
+def code_bits(n: int) -> int:
+    return max(1, min(24, math.ceil(math.log2(max(n, 2) / AIM))))
+
+
+def table_count(n: int, threshold: float = THRESHOLD) -> int:
+    """Tables of ``code_bits(n)`` hyperplanes that leave a pair at the threshold apart with probability ``MISS`` at most."""
+    together = (1 - math.acos(threshold) / math.pi) ** code_bits(n)
+    return 1 if together >= 1 - MISS else math.ceil(math.log(MISS) / math.log1p(-together))
+
+
 def leaf_links(classes: DataFrame, n: int, tables: range, floor: float, size: int = LIST) -> DataFrame:
     """``u, v, sim``: best neighbours of each class inside the leaves of the given tables."""
-    bits = max(1, min(24, math.ceil(math.log2(max(n, 2) / 64)))) if n > 128 else 1
+    bits = code_bits(n)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +96,10 @@ def leaf_links(classes: DataFrame, n: int, tables: range, floor: float, size: in
 
     def compare(group: pa.Table) -> pa.Table:
         ids, x = group.column("id").to_numpy(), unit(group.column("vec").combine_chunks())
+        own = group.column("own").to_numpy()
         cosine = x @ x.T
+        if group.column("i")[0] != group.column("j")[0]:  # pairs inside one block belong to the group of that block
+            cosine[own[:, None] == own[None, :]] = -2
         np.fill_diagonal(cosine, -2)
         k = min(size, len(ids) - 1)
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(ids), 0), np.int64)
@@ -91,9 +109,12 @@ def leaf_links(classes: DataFrame, n: int, tables: range, floor: float, size: in
 
     coded = materialize(classes.select("id", "vec", "dim").mapInArrow(code, "id long, dim int, t int, code long"))
     counts = materialize(coded.groupBy("dim", "t", "code").agg(F.count("*").alias("n")).where("n > 1"))
-    # a leaf over the bound is dealt into random parts; other tables deal it in other ways
-    leaves = coded.join(counts, ["dim", "t", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), F.ceil(F.col("n") / LEAF)))
-    return leaves.join(classes.select("id", "vec"), "id").groupBy("dim", "t", "code", "part").applyInArrow(compare, "u long, v long, sim double")
+    # a leaf over the bound is dealt into blocks, of which all pairs are compared
+    blocks = F.ceil(F.col("n") / LEAF).cast("int")
+    leaves = coded.join(counts, ["dim", "t", "code"]).withColumn("own", F.pmod(F.xxhash64("id", "t"), blocks).cast("int"))
+    leaves = leaves.select("id", "dim", "t", "code", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    leaves = leaves.select("id", "dim", "t", "code", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return leaves.join(classes.select("id", "vec"), "id").groupBy("dim", "t", "code", "i", "j").applyInArrow(compare, "u long, v long, sim double")
 
 
 def best(links: DataFrame, size: int) -> DataFrame:
@@ -127,22 +148,28 @@ def _both(links: DataFrame) -> DataFrame:
     return links.select("u", "v", "sim").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
 
 
-def descend(graph: DataFrame, classes: DataFrame, floor: float, size: int = LIST) -> DataFrame:
+def full_lists(graph: DataFrame, threshold: float, size: int = LIST) -> DataFrame:
+    """``id`` of the classes whose lists are full of links."""
+    return graph.groupBy("u").agg(F.count("*").alias("k"), F.min("sim").alias("low")).where((F.col("k") >= size) & (F.col("low") >= threshold)).select(F.col("u").alias("id"))
+
+
+def descend(graph: DataFrame, classes: DataFrame, floor: float, size: int = LIST, threshold: float = THRESHOLD) -> DataFrame:
     """Neighbours-of-neighbours joins until the lists settle. ``graph``: materialised lists ``u, v, sim``."""
-    total = graph.count()
-    for _ in range(ITERATIONS if total else 0):
+    if graph.isEmpty():
+        return graph
+    for _ in range(ITERATIONS):
         # lists are of a bounded size in both directions: the best ones that name a class, besides those it names
         around = materialize(best(_both(graph), 2 * size))
         via = around.select(F.col("v").alias("w"), "u").join(around.select(F.col("u").alias("w"), "v"), "w").where("u < v").select("u", "v").distinct()
         fresh = via.join(around.select("u", "v"), ["u", "v"], "left_anti")
         found = materialize(with_cosine(fresh, classes, floor))
         new = materialize(best(around.unionByName(_both(found)), size))
-        changed = new.join(graph.select("u", "v"), ["u", "v"], "left_anti").count()
+        changed = new.join(graph.select("u", "v"), ["u", "v"], "left_anti")
+        settled = changed.join(full_lists(new, threshold, size).withColumnRenamed("id", "u"), "u", "left_anti").isEmpty()
         graph = new
-        if changed <= SETTLED * total:
-            break
-        total = graph.count()
-    return graph
+        if settled:
+            return graph
+    raise RuntimeError("neighbour lists did not settle")
 
 
 def enlarged(component: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -202,10 +229,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
     classes = materialize(every.where("vec is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult"), F.first("vec").alias("vec"), F.first("dim").alias("dim")).dropDuplicates(["id"]))
     floor = math.cos(min(math.pi, 2 * math.acos(threshold)))
     n, graph = classes.count(), None
+    tables = table_count(n, threshold)
     for k in range(ROUNDS):
-        leaves = leaf_links(classes, n, range(k * TABLES, (k + 1) * TABLES), floor)
+        leaves = leaf_links(classes, n, range(k * tables, (k + 1) * tables), floor)
         graph = materialize(best(_both(leaves if graph is None else leaves.unionByName(graph)), LIST))
-        graph = descend(graph, classes, floor)
+        graph = descend(graph, classes, floor, LIST, threshold)
         links = materialize(_both(graph.where(F.col("sim") >= threshold)).select("u", "v").distinct())
         counts, pairs = _counts(links, graph, classes, threshold)
         if audit(classes, counts, threshold) >= RECALL:
@@ -222,7 +250,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
 def _counts(links: DataFrame, graph: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """``(id, n)`` links of each class with multiplicity, and links ``(a, b)`` that span all components."""
     pairs = links.where("u < v").select(F.col("u").alias("a"), F.col("v").alias("b"))
-    full = graph.groupBy("u").agg(F.count("*").alias("k"), F.min("sim").alias("low")).where((F.col("k") >= LIST) & (F.col("low") >= threshold)).select(F.col("u").alias("id"))
+    full = full_lists(graph, threshold)
     comp = materialize(components(pairs).select(F.col("node").alias("id"), "component"))
     which = materialize(comp.join(full, "id", "left_semi").select("component").distinct())
     inside = comp.join(which, "component", "left_semi")

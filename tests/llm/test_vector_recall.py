@@ -34,3 +34,14 @@ def test_pairs_of_a_large_leaf_all_meet(spark, monkeypatch):
 def test_isolated_pairs_share_a_leaf_at_every_size(n):
     together = (1 - np.arccos(embeddings.THRESHOLD) / np.pi) ** embeddings.code_bits(n)
     assert (1 - together) ** embeddings.table_count(n) <= embeddings.MISS
+
+
+def test_audit_weighs_vectors_not_links(spark):
+    r = np.random.default_rng(2)
+    clique, pairs = np.eye(16)[0] + 0.01 * r.standard_normal((100, 16)), r.standard_normal((30, 16)).repeat(2, 0) + 0.01 * r.standard_normal((60, 16))
+    classes = as_classes(spark, np.concatenate([clique, pairs]))
+    rows = [(k, 99, True) for k in range(100)]
+    schema = "id long, n long, whole boolean"
+    # every link of the pairs is missed, 60 of 9,960
+    assert embeddings.audit(classes, spark.createDataFrame(rows, schema), 0.95) < embeddings.RECALL
+    assert embeddings.audit(classes, spark.createDataFrame(rows + [(k, 1, False) for k in range(100, 160)], schema), 0.95) == 1

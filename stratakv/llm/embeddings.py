@@ -163,8 +163,10 @@ def descend(graph: DataFrame, classes: DataFrame, floor: float, size: int = LIST
     for _ in range(ITERATIONS):
         # lists are of a bounded size in both directions: the best ones that name a class, besides those it names
         around = materialize(best(_both(graph), 2 * size))
-        via = around.select(F.col("v").alias("w"), "u").join(around.select(F.col("u").alias("w"), "v"), "w").where("u < v").select("u", "v").distinct()
-        fresh = via.join(around.select("u", "v"), ["u", "v"], "left_anti")
+        # the lists are not symmetric (a hub need not list what lists it), so a path may exist from its greater end only
+        ordered = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+        via = around.select(F.col("v").alias("w"), "u").join(around.select(F.col("u").alias("w"), "v"), "w").where("u <> v").select(*ordered).distinct()
+        fresh = via.join(around.select(*ordered).distinct(), ["u", "v"], "left_anti")
         found = materialize(with_cosine(fresh, classes, floor))
         new = materialize(best(around.unionByName(_both(found)), size))
         changed = new.join(graph.select("u", "v"), ["u", "v"], "left_anti")

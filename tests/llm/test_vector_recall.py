@@ -45,3 +45,16 @@ def test_audit_weighs_vectors_not_links(spark):
     # every link of the pairs is missed, 60 of 9,960
     assert embeddings.audit(classes, spark.createDataFrame(rows, schema), 0.95) < embeddings.RECALL
     assert embeddings.audit(classes, spark.createDataFrame(rows + [(k, 1, False) for k in range(100, 160)], schema), 0.95) == 1
+
+
+@pytest.mark.parametrize("outer", [0, 9])
+def test_paths_are_joined_whatever_the_order_of_ids(spark, outer):
+    # 5 is a hub: it lists 1 and 2, not the outer vector that lists it; 1 is the outer vector's best neighbour
+    degrees = {outer: 0, 1: 6, 5: 8, 2: 9}
+    x = [[np.cos(np.radians(a)), np.sin(np.radians(a))] for a in degrees.values()]
+    classes = as_classes(spark, x, list(degrees))
+    sim = lambda a, b: float(np.cos(np.radians(degrees[a] - degrees[b])))
+    lists = [(a, b, sim(a, b)) for a, b in ((outer, 5), (1, 5), (2, 5), (5, 2))]
+    graph = materialize(spark.createDataFrame(lists, "u long, v long, sim double"))
+    got = {(r.u, r.v) for r in embeddings.descend(graph, classes, 0.8, size=1).collect()}
+    assert (outer, 1) in got

@@ -1,6 +1,7 @@
 """Near-duplicate vectors by NN-descent.
 
-1. Equal vectors are one class with a multiplicity; from here on classes stand for their vectors.
+1. Equal vectors are one class with a multiplicity; from here on classes stand for their vectors. A class's number
+   is a hash of its vector, so classes with one least id stay apart; components are labelled with the least id.
 2. First graph: classes that agree on the signs of some random hyperplanes are a leaf of a table. All pairs of a
    leaf are compared (a large one in pairs of blocks), and there are so many tables that a pair at the threshold
    shares no leaf with probability ``MISS`` at most, whatever the size. Each class keeps its ``LIST`` best neighbours
@@ -246,10 +247,20 @@ def audit(classes: DataFrame, counts: DataFrame, threshold: float, sample: int =
     return min(mean_recall((2,)), mean_recall((0, 1)))
 
 
+def numbered(every: DataFrame) -> DataFrame:
+    """``id, key, least, mult, vec, dim``: a row for each vector of ``every``; ``least`` is its least vec_id."""
+    classes = every.where("vec is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"), F.first("vec").alias("vec"), F.first("dim").alias("dim"))
+    for seed in range(8):
+        out = materialize(classes.select(F.xxhash64("key", F.lit(seed)).alias("id"), "*"))
+        if out.groupBy("id").count().where("count > 1").isEmpty():
+            return out
+    raise RuntimeError("class numbers collide")
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors``."""
     every = materialize(packed(vectors, id_col, vector_col).withColumn("key", F.sha2("vec", 256)))
-    classes = materialize(every.where("vec is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult"), F.first("vec").alias("vec"), F.first("dim").alias("dim")).dropDuplicates(["id"]))
+    classes = numbered(every)
     floor = math.cos(min(math.pi, 2 * math.acos(threshold)))
     n, graph = classes.count(), None
     tables = table_count(n, threshold)
@@ -263,8 +274,10 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
             break
     else:
         raise RuntimeError("the audit's recall stays too low")
-    comp = components(pairs).select(F.col("node").alias("id"), "component")
-    by_class = classes.select("key", "id", "mult").join(counts.select("id", "n"), "id", "left").join(comp, "id", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    comp = components(pairs).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    rooted = materialize(classes.select("key", "id", "mult", "least").join(counts.select("id", "n"), "id", "left").join(comp, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    labels = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")))
+    by_class = rooted.join(labels, "root").select("key", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component")
     out = every.select("vec_id", "key").join(by_class, "key", "left")
     label = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), label.alias("component_id"), F.col("vec_id").eqNullSafe(label).alias("kept"))

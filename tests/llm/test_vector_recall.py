@@ -58,3 +58,10 @@ def test_paths_are_joined_whatever_the_order_of_ids(spark, outer):
     graph = materialize(spark.createDataFrame(lists, "u long, v long, sim double"))
     got = {(r.u, r.v) for r in embeddings.descend(graph, classes, 0.8, size=1).collect()}
     assert (outer, 1) in got
+
+
+def test_vectors_of_one_id_are_classes_of_their_own(spark):
+    a, b, near_b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.1]
+    rows = [(7, a), (7, b), (8, a), (9, b), (10, near_b)]
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(7, 1, 7, True), (7, 2, 7, True), (8, 1, 7, False), (9, 2, 7, False), (10, 2, 7, False)]

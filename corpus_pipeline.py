@@ -33,14 +33,37 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("_removed") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
+def rows_numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``: doc_id, or for all texts but one of an id with several, a number that no other row has.
+
+    Rows that repeat an id and a text are one; a null id has a null number.
+    """
+    counts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = small_enough(materialize(counts.where("n > 1").select("doc_id")))
+    if repeated.isEmpty():
+        return docs.withColumn("_row", F.col("doc_id"))
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    several = materialize(docs.join(repeated, "doc_id", "left_semi").withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]))
+    first = materialize(several.groupBy("doc_id").agg(F.min("_sha").alias("_first")))
+    ids = docs.select(F.col("doc_id").alias("_row")).where("_row is not null").distinct()
+    for seed in range(8):
+        other = F.shiftrightunsigned(F.xxhash64("doc_id", "_sha", F.lit(seed)), 1)
+        again = materialize(several.join(first, "doc_id").withColumn("_row", F.when(F.col("_sha") == F.col("_first"), F.col("doc_id")).otherwise(other)))
+        new = again.where("_sha <> _first").select("_row")
+        if new.groupBy("_row").count().where("count > 1").isEmpty() and new.join(ids, "_row", "left_semi").isEmpty():
+            break
+    else:
+        raise RuntimeError("row numbers collide")
+    once = docs.join(repeated, "doc_id", "left_anti").withColumn("_row", F.col("doc_id"))
+    return once.unionByName(again.select(*once.columns))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays; of rows that repeat an id, one."""
-    docs = docs.select(*COLUMNS)
-    marks = materialize(minhash.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
-    gone = materialize(marks.where("doc_id is not null and (not kept or n > 1)").select("doc_id", "kept"))
-    once = docs.join(small_enough(gone.select("doc_id")), "doc_id", "left_anti")
-    again = docs.join(small_enough(materialize(gone.where("kept").select("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).select(*COLUMNS)
+    """One document of each group of near-duplicates stays; of rows that repeat an id and a text, one."""
+    rows = rows_numbered(docs.select(*COLUMNS))
+    marks = minhash.near_duplicates(rows, id_col="_row")
+    gone = materialize(marks.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_row")))
+    return rows.join(small_enough(gone), "_row", "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 ``describe`` walks the nested boxes, decodes the sample tables (stsd, stts, stss, stsc, stsz/stz2, stco/co64)
 and reports for each track its codec, duration and the byte ranges of its sync samples (keyframes). Payload
 bytes are never decoded, only located. A file that is cut or malformed gives an error text and what could be
-read, never an exception. ``wrap`` stores bytes losslessly as the samples of one track.
+read, never an exception; so does a fragmented file (moof), whose samples are not decoded. ``wrap`` stores bytes losslessly as the samples of one track.
 
 Null media count as empty bytes, which is an error ("no boxes"); repeated rows are described row by row; an empty
 table gives an empty result; other columns are ignored. Box sizes of 64 bits and "to the end" are followed.
@@ -191,6 +191,8 @@ def describe(media: bytes) -> tuple[list[Track], list[str], str]:
         if not media:
             raise ValueError("no boxes")
         walk(0, len(media), "", 0)
+        if "moof" in paths:
+            raise ValueError("movie fragments are not decoded")
         for t in tracks:
             if len(at := t.offsets()) and (at.min() < 0 or (at + t.sizes[: len(at)]).max() > len(media)):
                 raise ValueError("a sample lies outside the file")

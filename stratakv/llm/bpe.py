@@ -4,9 +4,11 @@ Each word is a list of symbols; the leaves of its segment tree hold ``rank << PO
 neighbours, inner nodes the least of their two children. The root is thus the leftmost pair of lowest rank: it
 is merged, and the at most three leaves that change are put right in logarithmic time, until no pair merges.
 The trees of all new words of a batch are kept as rows of one numpy matrix (by width), so a step of the loop
-merges one pair in every word at once.
+merges one pair in every word at once. A word of more than ``ALONE`` bytes has a tree of its own, whose updates
+stop at the first node that they don't change.
 
-The vocabulary file is read as published (vocabulary, merges, normalizer, split pattern); nothing is trained.
+The vocabulary file is read as published (vocabulary, merges, special strings); nothing is trained. The normaliser and
+the split pattern are those of this kind of file, written out here; a file that names others is refused.
 Nulls count as empty (no ids, empty decoded text); repeated rows are encoded row by row; an empty table gives an
 empty result; other columns are ignored. A word of any length is encoded whole.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -31,12 +34,28 @@ POS_BITS = 28
 NONE = np.int64(1) << 62
 #: Words kept with their encodings by a worker, and the longest such word. Both bound memory only.
 CACHED_WORDS, CACHED_CHARS = 150_000, 48
-#: Cells (rows x width) of one matrix of trees.
-CELLS = 1 << 19
+#: Cells (rows x width) of one matrix of trees, and the longest word (in bytes) that shares one.
+CELLS, ALONE = 1 << 19, 256
 #: White space of the file's patterns: the Unicode property of this name.
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: What the file must name (fixed values of this kind of file): steps of its normaliser, its split pattern, its byte step.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def refuse_others(spec: dict) -> None:
+    """Only files whose text is normalised and split as ``Codec.words`` does it."""
+    model, steps, parts = spec["model"], (spec["normalizer"] or {}).get("normalizers"), (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}, {}]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    splits = parts[0].get("pattern") == {"Regex": SPLIT} and parts[0].get("behavior") == "Removed" and parts[0].get("invert")
+    as_bytes = parts[1].get("type") == "ByteLevel" and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+    special = not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not (model["type"] == "BPE" and plain and steps == NORMALIZER and len(parts) == 2 and splits and as_bytes and special and spec["decoder"] is None):
+        raise ValueError("the vocabulary file names another normaliser, split pattern, decoder or kind of model")
+
+
 def byte_chars() -> list[str]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -50,6 +69,7 @@ class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_others(spec)
         model = spec["model"]
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -60,6 +80,7 @@ class Codec:
         pairs: dict[int, int] = {}
         for rank, (a, b) in enumerate(merges):
             pairs[v[a] << 32 | v[b]] = rank  # a later line of the same pair counts, as in a map
+        self.pairs = pairs
         self._hash(pairs)
         self.merged = np.array([v[a + b] for a, b in merges], np.int64)
         chars = byte_chars()
@@ -184,13 +205,66 @@ class Codec:
             flat[top + node] = np.minimum(flat[child], flat[child + 1])
             leaves >>= 1
 
+    def merge_alone(self, symbols: np.ndarray) -> list[int]:
+        """Ids of one long word, by plain numbers: a merge touches a few nodes of the tree, too few for numpy."""
+        n, none, rank_of, merged, low = len(symbols), int(NONE), self.pairs.get, self.merged.tolist(), (1 << POS_BITS) - 1
+        leaves = 1 << (n - 1).bit_length()
+        first = np.full(2 * leaves, NONE, np.int64)
+        r = self.ranks(symbols[:-1], symbols[1:])
+        first[leaves : leaves + n - 1] = np.where(r >= 0, r << POS_BITS | np.arange(n - 1), NONE)
+        level = leaves
+        while level > 1:
+            first[level // 2 : level] = np.minimum(first[level : 2 * level : 2], first[level + 1 : 2 * level : 2])
+            level //= 2
+        # arrays of machine numbers: memory is 40 bytes for each byte of the word
+        tree, sym = array("q", first.tobytes()), array("q", symbols.astype(np.int64).tobytes())
+        nxt, prv = array("q", np.arange(1, n + 1).tobytes()), array("q", np.arange(-1, n - 1).tobytes())
+
+        def put(at: int, value: int) -> None:
+            at += leaves
+            tree[at] = value
+            while at > 1:
+                other = tree[at ^ 1]
+                if other < value:
+                    value = other
+                at >>= 1
+                if tree[at] == value:
+                    return
+                tree[at] = value
+
+        while (root := tree[1]) < none:
+            left = root & low
+            right = nxt[left]
+            after, before = nxt[right], prv[left]
+            sym[left] = new = merged[root >> POS_BITS]
+            sym[right] = -1
+            nxt[left] = after
+            value = none
+            if after < n:
+                prv[after] = left
+                if (rank := rank_of(new << 32 | sym[after])) is not None:
+                    value = rank << POS_BITS | left
+            put(left, value)
+            if tree[leaves + right] != none:
+                put(right, none)
+            if before >= 0:
+                rank = rank_of(sym[before] << 32 | new)
+                value = none if rank is None else rank << POS_BITS | before
+                if tree[leaves + before] != value:
+                    put(before, value)
+        return [x for x in sym if x >= 0]
+
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """Ids of distinct words; words of like length share a matrix."""
+        """Ids of distinct words; words of like length share a matrix, long ones have a tree each."""
         by_width: dict[int, list[tuple[str, bytes]]] = {}
+        out: dict[str, list[int]] = {}
         for w in words:
             b = w.encode("utf-8", "replace")
-            by_width.setdefault(1 << (len(b) - 1).bit_length(), []).append((w, b))
-        out: dict[str, list[int]] = {}
+            if len(b) > ALONE:
+                raw = np.frombuffer(b, np.uint8)
+                out[w] = self.merge_alone(np.append(self.inner[raw[:-1]], self.last[raw[-1]]))
+            else:
+                by_width.setdefault(1 << (len(b) - 1).bit_length(), []).append((w, b))
         for width, group in by_width.items():
             step = max(1, CELLS // width)
             for k in range(0, len(group), step):

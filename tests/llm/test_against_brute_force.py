@@ -125,6 +125,15 @@ def test_spliced_counts_equal_whole_ones(texts, chunk, overlap):
             assert token_counts.count_huge(x, spans, specials, chunk, overlap) == len(t.encode(x, add_special_tokens=False).ids), x[:60]
 
 
+@pytest.mark.parametrize("text", ["日本語の文章、とても長い。" * 40_000, "длинный русский текст, " * 25_000, "1234567890 12 345," * 30_000, "x = [i**2 for i in range(10)];\n\t" * 20_000, " " * 600_000, "漢" * 300_000, "नमस्ते दुनिया " * 40_000, "'s'stuff 'll " * 45_000, "a\n" * 300_000, "😀" * 200_000 + "a b" * 100_000])
+def test_huge_texts_are_encoded_little_more_than_once(text):
+    path = vocabulary("byte_bpe_50k.json")
+    spans, seen = token_counts.library_spans(path), []
+    got = token_counts.count_huge(text, lambda x: seen.append(len(x)) or spans(x), token_counts.special_strings(path))
+    assert got == len(token_counts.tokenizer(path).encode(text, add_special_tokens=False).ids)
+    assert sum(seen) <= 1.3 * len(text)
+
+
 def test_huge_texts_go_through_chunks(spark):
     df = spark.createDataFrame([(1, "some words, and more of them. " * 9000), (2, "short")], "doc_id long, text string")
     got = {r.doc_id: r for r in token_counts.token_counts(df, vocabulary("byte_bpe_50k.json")).collect()}

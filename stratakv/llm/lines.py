@@ -6,9 +6,12 @@ within ``MARGIN`` of the threshold (eight standard errors) get an exact distinct
 boilerplate, those clearly below are not. A boilerplate line stays in the document of least id that has it, at its
 first place there, and goes everywhere else. Blank lines always stay.
 
+Rows are told apart by their id and a 128-bit hash of the text, and lines by their places in it. What goes from a row is
+a list of places; hash sets of places, never a search for each line, so work is linear in the lines of a document.
+
 Defined results: a null text counts as one empty line; a null site is a site of its own; rows that repeat an id
-are treated alike (all of them keep what the least id keeps); an empty table gives an empty result; other columns are
-passed through unchanged.
+are treated alike (all of them keep what the least id keeps), as are rows without an id; an empty table gives an empty
+result; other columns are passed through unchanged.
 """
 
 from __future__ import annotations
@@ -33,11 +36,22 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2"))
 
 
+#: What tells rows apart: rows that agree on all three have the same lines.
+ROW = ("doc_id", "t1", "t2")
+
+
+def _row(id_col: str, text_col: str) -> list[Column]:
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return [F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
+
+
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """``doc_id, site, h1, h2``: the distinct keys of each document's lines that are not blank."""
-    lines = F.filter(_split(F.col(f"`{text_col}`")), lambda x: ~x.rlike(BLANK))
-    one = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.xxhash64(F.when(F.col(f"`{site_col}`").isNotNull(), F.col(f"`{site_col}`"))), F.lit(0)).alias("site"), F.explode(F.array_distinct(F.transform(lines, _key))).alias("k"))
-    return one.select("doc_id", "site", "k.h1", "k.h2")
+    """``doc_id, t1, t2, site, pos, h1, h2``: place (from 0) and key of each line that is not blank."""
+    site = F.coalesce(F.xxhash64(F.when(F.col(f"`{site_col}`").isNotNull(), F.col(f"`{site_col}`"))), F.lit(0)).alias("site")
+    # hashes first: above the generator they would be worked out for each line
+    own = docs.select(*_row(id_col, text_col), site, _split(F.col(f"`{text_col}`")).alias("lines"))
+    each = own.select(*ROW, "site", F.posexplode("lines").alias("pos", "line"))
+    return each.where(~F.col("line").rlike(BLANK)).select(*ROW, "site", "pos", _key(F.col("line")).alias("k")).select(*ROW, "site", "pos", "k.h1", "k.h2")
 
 
 def boilerplate_keys(keys: DataFrame, sites: int = SITES, margin: float = MARGIN) -> DataFrame:
@@ -52,28 +66,36 @@ def boilerplate_keys(keys: DataFrame, sites: int = SITES, margin: float = MARGIN
     return clear.unionByName(near.join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi"))
 
 
+def places_gone(keys: DataFrame, boiler: DataFrame) -> DataFrame:
+    """``doc_id, t1, t2, gone array<int>``: places of the lines that go from a row, at most as many as it has lines."""
+    here = keys.join(boiler, ["h1", "h2"]).select(*ROW, "h1", "h2", "pos", F.col("doc_id").eqNullSafe(F.col("first_doc")).alias("first"))
+    by_line = here.groupBy(*ROW, "h1", "h2", "first").agg(F.collect_set("pos").alias("at"))
+    # the document of least id keeps the line's first place
+    goes = F.when(F.col("first"), F.array_remove("at", F.array_min("at"))).otherwise(F.col("at"))
+    return by_line.select(*ROW, goes.alias("at")).groupBy(*ROW).agg(F.flatten(F.collect_list("at")).alias("gone"))
+
+
 def dedup_lines(docs: DataFrame, sites: int = SITES, margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """All columns of ``docs`` and ``_kept`` (the text without boilerplate), ``_lines``, ``_removed``.
 
     The three names are taken from clashing columns of ``docs``, should there be any.
     """
     prepare(docs.sparkSession)
-    docs = docs.drop("_kept", "_lines", "_removed", "_keys", "_id")
+    docs = docs.drop("_kept", "_lines", "_removed", "_gone", "_split", "_id", "_t1", "_t2", "_i1", "_i2")
     keys = materialize(line_keys(docs, id_col, text_col, site_col))
     boiler = materialize(boilerplate_keys(keys, sites, margin))
-    here = keys.join(boiler, ["h1", "h2"]).select("doc_id", F.struct(F.struct("h1", "h2").alias("k"), F.col("doc_id").eqNullSafe(F.col("first_doc")).alias("first")).alias("key"))
-    # no more entries than the document has lines
-    by_doc = here.groupBy("doc_id").agg(F.collect_set("key").alias("_keys")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(by_doc, docs[f"`{id_col}`"].eqNullSafe(by_doc["_id"]), "left").drop("_id")
-    lines = _split(F.col(f"`{text_col}`"))
-    keyed = F.transform(lines, lambda x: F.struct(x.alias("line"), _key(x).alias("k")))
-    gone = F.transform("_keys", lambda x: x["k"])
-    firsts = F.transform(F.filter("_keys", lambda x: x["first"]), lambda x: x["k"])
-    order = F.transform(lines, _key)
-    stays = F.filter(keyed, lambda x, i: ~F.array_contains(gone, x["k"]) | (F.array_contains(firsts, x["k"]) & (F.array_position(order, x["k"]) == i + 1)))
-    kept = F.when(F.col("_keys").isNull(), lines).otherwise(F.transform(stays, lambda x: x["line"]))
-    out = joined.withColumn("_kept", kept).withColumn("_lines", F.size(lines)).drop("_keys")
-    return out.withColumn("_removed", F.col("_lines") - F.size("_kept")).withColumn("_kept", F.array_join("_kept", "\n"))
+    gone = places_gone(keys, boiler).withColumnsRenamed({"doc_id": "_id", "t1": "_i1", "t2": "_i2", "gone": "_gone"})
+    _, t1, t2 = _row(id_col, text_col)
+    own = docs.withColumn("_t1", t1).withColumn("_t2", t2)
+    same = own[f"`{id_col}`"].eqNullSafe(gone["_id"]) & (own["_t1"] == gone["_i1"]) & (own["_t2"] == gone["_i2"])
+    joined = own.join(gone, same, "left").drop("_id", "_i1", "_i2", "_t1", "_t2")
+    # a generator of one row: the lines are a column from here on, not an expression that is worked out for each place
+    split = joined.withColumn("_split", F.explode(F.array(_split(F.col(f"`{text_col}`")))))
+    places = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_gone"))
+    stay = F.transform(places, lambda i: F.element_at("_split", i + 1))
+    kept = F.when(F.col("_gone").isNull() | (F.size("_gone") == 0), F.col(f"`{text_col}`")).otherwise(F.array_join(stay, "\n"))
+    out = split.withColumn("_kept", F.coalesce(kept, F.lit(""))).withColumn("_lines", F.size("_split"))
+    return out.withColumn("_removed", F.coalesce(F.size("_gone"), F.lit(0))).drop("_gone", "_split")
 
 
 ORACLE = f"""

@@ -1,5 +1,7 @@
 """Boilerplate lines: sketches far from the threshold, exact counts near it, one place kept."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from stratakv.llm import lines
@@ -40,3 +42,24 @@ def test_blank_and_repeated_lines(spark):
     got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), sites=10).collect()}
     assert got[0]._kept == "shared\n\n  \nmine 0" and got[0]._removed == 1
     assert got[5]._kept == "\n  \nmine 5" and got[5]._removed == 2 and got[5]._lines == 5
+
+
+def test_many_lines_in_linear_time(spark):
+    def seconds(n):
+        text = "\n".join(f"{k} is a line of boilerplate" for k in range(n))
+        df = spark.createDataFrame([(s, f"own {s}\n{text}\n{text[:200]}", f"s{s}") for s in range(12)], "doc_id long, text string, source string").repartition(4)
+        began = time.monotonic()
+        got = {r.doc_id: r for r in lines.dedup_lines(df, sites=10).select("doc_id", "_lines", "_removed", F.length("_kept").alias("n")).collect()}
+        assert got[0]._removed > 0 and got[5]._removed >= n and got[5].n < 100 and got[0].n >= len(text)
+        return time.monotonic() - began
+
+    seconds(100)
+    assert seconds(40_000) < 12 * max(seconds(8_000), 1)  # it was 25 times as long when work grew with the square
+
+
+def test_rows_without_id_and_repeated_ids(spark):
+    rows = [(None, f"shared\nmine {s}", f"s{s}") for s in range(12)] + [(5, "shared\nfirst text", "t"), (5, "shared\nother text", "t"), (6, "shared\nlast", "u")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), sites=10).collect()
+    assert sorted(r._kept for r in got if r.doc_id is None) == sorted(f"mine {s}" for s in range(12))
+    assert sorted(r._kept for r in got if r.doc_id == 5) == ["shared\nfirst text", "shared\nother text"]
+    assert [r._kept for r in got if r.doc_id == 6] == ["last"]

@@ -6,8 +6,8 @@
    of highest IDF among its mandatory key phrases enter the index, with their places in the template.
 3. A file's indexed words are looked up: each posting gives a relative position (where the template would begin).
    Places at which all of a template's rare words agree are candidates.
-4. Candidates are verified: every word of the mandatory key phrases must stand at its place, and of all the
-   template's words at least ``COVERAGE``. As the rare words are key words, no place that verifies can be missed.
+4. Candidates are verified: every word of the mandatory key phrases (the common ones too) must stand at its place, and of
+   all the template's words at least ``COVERAGE``. As the rare words are key words, no place that verifies can be missed.
 
 Places of a hot template are (document, place) rows; they are joined and counted by these keys, so a licence that a
 third of all documents carry never gathers in one task. What the driver collects is bounded by the templates.
@@ -30,7 +30,7 @@ from stratakv.llm.common import keyed_text, materialize, prepare
 RARE, COVERAGE = 2, 0.6
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words too common to be looked up; their places in a template are kept but not compared.
+#: Words too common to be looked up in the index. They are compared like all others once a place is a candidate.
 COMMON = frozenset("a an and any as by copy for free in is of or person the this to under use used with without work".split())
 
 
@@ -38,7 +38,7 @@ COMMON = frozenset("a an and any as by copy for free in is of or person the this
 class Template:
     label: str
     text: str
-    #: Phrases of ``text`` of which every (not too common) word must be in place.
+    #: Phrases of ``text`` of which every word must be in place.
     keys: tuple[str, ...]
 
 
@@ -72,26 +72,41 @@ def words(text: str) -> list[str]:
     return [w for w in re.split(SEPARATORS, text.translate(str.maketrans(UPPER, LOWER))) if w]
 
 
-def places(t: Template) -> list[tuple[int, str, bool]]:
-    """``(place, word, whether it is a key)`` of a template's words that are compared."""
-    own, keys = words(t.text), set()
+def key_phrases(t: Template) -> list[tuple[int, list[str]]]:
+    """``(place in the template, words)`` of each mandatory phrase."""
+    own, out = words(t.text), []
     for phrase in t.keys:
         p = words(phrase)
-        at = next(k for k in range(len(own)) if own[k : k + len(p)] == p)
-        keys.update(range(at, at + len(p)))
-    return [(k, w, k in keys) for k, w in enumerate(own) if w not in COMMON]
+        out.append((next(k for k in range(len(own)) if own[k : k + len(p)] == p), p))
+    return out
+
+
+def places(t: Template) -> list[tuple[int, str, bool]]:
+    """``(place, word, whether it is a key)`` of a template's words."""
+    keys = {at + k for at, p in key_phrases(t) for k in range(len(p))}
+    return [(k, w, k in keys) for k, w in enumerate(words(t.text))]
+
+
+def lookup_places(t: Template) -> dict[str, int]:
+    """First place of each key word that may be looked up: the common ones only if a template has no others."""
+    first: dict[str, int] = {}
+    for at, w, key in places(t):
+        if key:
+            first.setdefault(w, at)
+    return {w: at for w, at in first.items() if w not in COMMON} or first
 
 
 def hits(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row, doc_id, n_words, hits array<struct<pos long, word>>`` of each row; ``row`` tells repeated rows apart."""
     known = sorted({w for t in templates for _, w, _ in places(t)})
+    gate = sorted({w for t in templates for w in lookup_places(t)})
     lowered = keyed_text(docs, id_col, text_col).select("doc_id", F.split(F.translate("text", UPPER, LOWER), SEPARATORS, -1).alias("parts"))
     lead = (F.element_at("parts", 1) == "").cast("int")
     trail = F.when(F.size("parts") > 1, (F.element_at("parts", -1) == "").cast("int")).otherwise(0)
     cut = lowered.select("doc_id", (F.size("parts") - lead - trail).cast("long").alias("n_words"), lead.alias("lead"), "parts")
     placed = F.filter(F.transform("parts", lambda w, i: F.struct((i - F.col("lead")).cast("long").alias("pos"), w.alias("word"))), lambda x: x["word"].isin(known))
-    # most texts have none of the words: those are not walked word by word
-    some = F.arrays_overlap("parts", F.array(*map(F.lit, known)))
+    # most texts have none of the words that are looked up: those are not walked word by word
+    some = F.arrays_overlap("parts", F.array(*map(F.lit, gate)))
     return cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", F.when(some, placed).alias("hits"))
 
 
@@ -105,12 +120,8 @@ def rare_places(templates: tuple[Template, ...], df: dict[str, int], rare: int =
     """``(template, place, word)`` of each template's key words of highest IDF, at most ``rare`` of them."""
     out = []
     for k, t in enumerate(templates):
-        first: dict[str, int] = {}
-        for at, w, key in places(t):
-            if key:
-                first.setdefault(w, at)
-        for w in sorted(first, key=lambda w: (df.get(w, 0), w))[:rare]:
-            out.append((k, first[w], w))
+        first = lookup_places(t)
+        out += [(k, first[w], w) for w in sorted(first, key=lambda w: (df.get(w, 0), w))[:rare]]
     return out
 
 
@@ -162,15 +173,18 @@ def _joined(labels: Column) -> Column:
 
 
 def oracle(templates: tuple[Template, ...] = TEMPLATES, n_base: int = len(BASE), coverage: float = COVERAGE) -> str:
-    """DuckDB SQL for ``scan``, from the templates alone: places where words agree, without an index."""
-    body = ", ".join(f"({k}, '{t.label}', {at}, '{w}', {key})" for k, t in enumerate(templates) for at, w, key in places(t))
+    """DuckDB SQL for ``scan``, from the phrases as strings: places where all of a template's phrases are read, without an index."""
+    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    whole = ", ".join(f"({k}, '{t.label}', {listed(words(t.text))}, {len(t.keys)})" for k, t in enumerate(templates))
+    phrases = ", ".join(f"({k}, {at}, {len(p)}, '{p[0]}', '{' '.join(p)}')" for k, t in enumerate(templates) for at, p in key_phrases(t))
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
-t(template, label, place, word, key) AS (VALUES {body}),
-s AS (SELECT template, any_value(label) AS label, count(*) AS n_all, count(*) FILTER (WHERE key) AS all_keys FROM t GROUP BY template),
+t(template, label, own, n_phrases) AS (VALUES {whole}),
+k(template, place, n, head, phrase) AS (VALUES {phrases}),
 w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM d),
-p AS (SELECT doc_id, template, pos - place AS start, count(*) AS n, count(*) FILTER (WHERE key) AS n_keys FROM w JOIN t USING (word) WHERE pos >= place GROUP BY ALL),
-v AS (SELECT doc_id, template, label, start, n / n_all AS score FROM p JOIN s USING (template) WHERE n_keys = all_keys AND n / n_all >= {coverage}),
-g AS (SELECT doc_id, count(*) FILTER (WHERE template < {n_base}) AS n_base, min(start) FILTER (WHERE template < {n_base}) AS first_word, max(start) FILTER (WHERE template < {n_base}) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE template < {n_base}) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM v GROUP BY doc_id)
+f AS (SELECT w.doc_id, template, pos - place AS start, n, phrase, pos FROM w JOIN k ON word = head WHERE pos >= place),
+p AS (SELECT f.doc_id, f.template, start FROM f JOIN d USING (doc_id) JOIN t ON f.template = t.template WHERE array_to_string(words[pos + 1 : pos + n], ' ') = phrase GROUP BY 1, 2, 3 HAVING count(*) = any_value(n_phrases)),
+v AS (SELECT doc_id, template, label, start, len(list_filter(range(len(own)), lambda i: words[start + i + 1] = own[i + 1])) / len(own) AS score FROM p JOIN d USING (doc_id) JOIN t USING (template)),
+g AS (SELECT doc_id, count(*) FILTER (WHERE template < {n_base}) AS n_base, min(start) FILTER (WHERE template < {n_base}) AS first_word, max(start) FILTER (WHERE template < {n_base}) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE template < {n_base}) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM v WHERE score >= {coverage} GROUP BY doc_id)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN g USING (doc_id)
 """

@@ -344,6 +344,12 @@ def test_licence_places(spark):
     assert got[6].labels == "mit-text" and 0.6 <= got[6].score < 1 and got[7].labels == "" and got[7].score == 0
 
 
+def test_every_word_of_a_key_phrase_counts(spark):
+    texts = ["Licensed under CC ND 4.0 terms", "permission was hereby granted, free of charge, to any person obtaining the copy of that software and associated documentation files", "Licensed under CC BY 4.0", "This is free and unencumbered software released for the public domain", "This is free and unencumbered software released into the public domain"]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "", 1: "", 2: "cc-by", 3: "", 4: "unlicense"}
+
+
 def test_mixing_reaches_targets(spark):
     r = random.Random(2)
     rows = [(k, " ".join(["w"] * r.randint(0, 40)), ["a", "b", "c", "d", None][min(4, int(r.random() ** 2 * 5))]) for k in range(600)]

@@ -1,12 +1,13 @@
 """Near-duplicate documents: banded MinHash candidates, sequential Bayesian pruning, exact verification.
 
 1. One pass over the texts: the set of distinct five-word shingles, a fingerprint of that set, a signature of
-   ``HASHES`` minima and its ``BANDS`` band keys. Documents with equal sets are one class from here on.
+   ``HASHES`` minima and its ``BANDS`` band keys. Documents with equal sets are one class from here on. A class's number
+   is a hash of its fingerprint, so texts that share an id are told apart; components are labelled with the least id.
 2. Classes that share a band key are candidates. In a small bucket these are all pairs. In a large one every
    member is compared with a few pivots (a linear number of pairs) and links are joined into components. Only
    buckets that then still hold several components go on: members outside their largest component are compared
-   with all other members, in blocks of at most ``BLOCK`` by ``BLOCK`` signatures inside one task each, of which
-   only pairs that survive step 3 come out. So no bucket is capped, gathered in one task or listed pair by pair.
+   with all other members, in blocks of at most ``BLOCK`` by ``BLOCK`` signatures inside one task each. Shingle sets are
+   fetched only for what survives step 3 there. So no bucket is capped, gathered in one task or listed pair by pair.
 3. Sequential Bayesian verification: signatures are compared batch by batch; a pair is dropped as soon as the
    posterior probability (uniform prior, so an incomplete beta function) that its similarity reaches the threshold
    is under ``MISS``. What survives is verified exactly on the full shingle sets.
@@ -14,8 +15,8 @@
 At the threshold itself a pair shares no band with probability (1 - 0.75**4)**32 = 5e-6; such a pair is missed.
 
 Defined results: null and blank texts have no shingles, link with nothing and are kept; texts of one to four words
-have one shingle; rows that repeat an id and a text give equal rows (of an id with several texts, one stands for it
-as a representative); an empty table gives an empty result; other columns are ignored.
+have one shingle; rows that repeat an id and a text give equal rows, texts that share an id are documents of their
+own with that id; rows without an id are kept and link with nothing; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,19 +62,27 @@ def least_matches(threshold: float, miss: float = MISS, hashes: int = HASHES, ba
     return tuple(out)
 
 
+#: What tells rows apart: id and a 128-bit hash of the text.
+ROW = ("doc_id", "t1", "t2")
+
+
+def row_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return keyed_text(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
+
+
 def sketches(texts: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, f1, f2, sig binary, bands array<long>``: a row for each row of keyed text."""
+    """``doc_id, t1, t2, n_shingles, f1, f2, sig binary, bands array<long>``: a row for each row of ``row_texts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             size, f1, f2, sig, bands = [], [], [], [], []
 
-            def flush(done: int, upto: int, ids: pa.Array):
+            def flush(done: int, upto: int, batch: pa.RecordBatch):
                 keys = np.stack(bands) if bands else np.zeros((0, BANDS), np.uint64)
                 out = pa.RecordBatch.from_arrays(
-                    [ids.slice(done, upto - done), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.view(np.int64).ravel()))],
-                    ["doc_id", "n_shingles", "f1", "f2", "sig", "bands"],
+                    [*(batch.column(c).slice(done, upto - done) for c in (0, 2, 3)), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.view(np.int64).ravel()))],
+                    [*ROW, "n_shingles", "f1", "f2", "sig", "bands"],
                 )
                 for x in (size, f1, f2, sig, bands):
                     x.clear()
@@ -89,11 +98,22 @@ def sketches(texts: DataFrame) -> DataFrame:
                 w = s.astype(np.uint64).reshape(BANDS, ROWS)
                 bands.append(mix(mix(mix(w[:, 0] << np.uint64(32) | w[:, 1]) ^ (w[:, 2] << np.uint64(32) | w[:, 3])) + np.arange(BANDS, dtype=np.uint64)))
                 if len(size) == 4096:
-                    yield flush(done, k, batch.column(0))
+                    yield flush(done, k, batch)
                     done = k
-            yield flush(done, k, batch.column(0))
+            yield flush(done, k, batch)
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>")
+    return texts.select("doc_id", "text", "t1", "t2").mapInArrow(run, "doc_id long, t1 long, t2 long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>")
+
+
+def numbered(sketched: DataFrame) -> DataFrame:
+    """``id, n_shingles, f1, f2, doc_id, t1, t2``: a row for each class; its least id and a text of it stand for it."""
+    key = ("n_shingles", "f1", "f2")
+    classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min(F.struct(*ROW)).alias("r"))
+    for seed in range(8):
+        out = materialize(classes.select(F.xxhash64(*key, F.lit(seed)).alias("id"), *key, "r.*"))
+        if out.groupBy("id").count().where("count > 1").isEmpty():
+            return out
+    raise RuntimeError("class numbers collide")
 
 
 def promising(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -105,8 +125,8 @@ def promising(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
             x, y = (_matrix(batch.column(k)) for k in (2, 3))
             yield batch.take(pa.array(_sequential(x, y, np.arange(len(x)), np.arange(len(y)), need))).select(["a", "b"])
 
-    sigs = classes.select("doc_id", "sig")
-    two = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
+    sigs = classes.select("id", "sig")
+    two = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     return two.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -125,65 +145,87 @@ def _sequential(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, need
     return alive
 
 
-def links_in_blocks(torn: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` between components in buckets ``(band, key, doc_id, component)``, outsiders against all.
+def links_in_blocks(torn: DataFrame, classes: DataFrame, texts: "Texts", percent: int) -> DataFrame:
+    """Links ``(a, b)`` between components in buckets ``(band, key, id, component)``, outsiders against all.
 
     Outsiders are the members that are not in the bucket's largest component. Both sides are dealt into blocks, and
-    each pair of blocks is a group of its own, of a bounded size: there pairs go through the sequential test and
-    what is left is verified on the full sets. A pair is looked at in the first band only that both agree on. Of an
-    outsider's links into one component, one comes out of a group: the others would join nothing more.
+    each pair of blocks is a group of its own, of a bounded size: there signatures go through the sequential test, and
+    what is left is verified on the full sets, which only these members bring. A pair is looked at in the first band only
+    that both agree on. Of an outsider's links into one component, one comes out of a group: the others would join nothing.
     """
     need = least_matches(percent / 100)
     counts = torn.groupBy("key", "component").agg(F.count("*").alias("n"))
     buckets = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
     buckets = materialize(buckets.select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("out_blocks")))
     rows = torn.join(buckets, "key")
-    outer, every = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("out_blocks")), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("all_blocks"))
-    out = rows.where("component <> main").select("band", "key", "doc_id", "component", F.lit(True).alias("outside"), outer.cast("int").alias("o"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("m"))
-    inn = rows.select("band", "key", "doc_id", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("o"), every.cast("int").alias("m"))
-    own = materialize(torn.select("doc_id").distinct())
-    sets = materialize(_with_sets(texts.join(small_enough(own), "doc_id")).join(classes.select("doc_id", "sig", "bands"), "doc_id"))
-    sides = out.unionByName(inn).join(sets, "doc_id")
-
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        column = lambda c: group.column(c).combine_chunks() if isinstance(group.column(c), pa.ChunkedArray) else group.column(c)
-        ids, comp, outside = (group.column(c).to_numpy() for c in ("doc_id", "component", "outside"))
-        band, sig = group.column("band")[0].as_py(), _matrix(column("sig"))
-        bands = column("bands").flatten().to_numpy().reshape(len(ids), BANDS)
-        grams = [np.frombuffer(g, np.uint64) for g in column("grams").to_pylist()]
-        size = np.array([len(g) for g in grams])
+    outer, every = F.pmod(F.xxhash64("id", F.lit(1)), F.col("out_blocks")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("all_blocks"))
+    out = rows.where("component <> main").select("band", "key", "id", "component", F.lit(True).alias("outside"), outer.cast("int").alias("o"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("m"))
+    inn = rows.select("band", "key", "id", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("o"), every.cast("int").alias("m"))
+    sides = out.unionByName(inn).join(classes.select("id", "sig", "bands"), "id")
+
+    def left_over(group: pa.Table) -> pa.Table:
+        ids, comp, outside = (group.column(c).to_numpy() for c in ("id", "component", "outside"))
+        band, sig = group.column("band")[0].as_py(), _matrix(group.column("sig"))
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
         inside = np.flatnonzero(~outside)
-        a, b = [], []
+        a, others, comps = [], [], []
         for k in np.flatnonzero(outside).tolist():
             other = inside[(comp[inside] != comp[k]) & ((bands[inside] == bands[k]).argmax(1) == band)]
             other = other[_sequential(sig, sig, np.full(len(other), k), other, need)]
-            if not len(other):
-                continue
-            flat = np.concatenate([grams[i] for i in other])
-            at = np.minimum(np.searchsorted(grams[k], flat), size[k] - 1)
-            both = np.add.reduceat((grams[k][at] == flat).astype(np.int64), np.cumsum(size[other]) - size[other])
-            linked = other[100 * both >= percent * (size[k] + size[other] - both)]
+            if len(other):
+                a.append(int(ids[k]))
+                others.append(ids[other].tolist())
+                comps.append(comp[other].tolist())
+        place = [pa.array([group.column(c)[0].as_py()] * len(a), kind) for c, kind in (("key", pa.int64()), ("o", pa.int32()), ("m", pa.int32()))]
+        return pa.table([*place, pa.array(a, pa.int64()), pa.array(others, pa.list_(pa.int64())), pa.array(comps, pa.list_(pa.int64()))], ["key", "o", "m", "a", "others", "comps"])
+
+    def verify(pairs: pa.Table, members: pa.Table) -> pa.Table:
+        grams = {i: np.frombuffer(g, np.uint64) for i, g in zip(members.column("id").to_pylist(), members.column("grams").to_pylist(), strict=True)}
+        a, b = [], []
+        for i, others, comps in zip(pairs.column("a").to_pylist(), pairs.column("others").to_pylist(), pairs.column("comps").to_pylist(), strict=True):
+            own, other, comp = grams[i], np.array(others), np.array(comps)
+            size = np.array([len(grams[j]) for j in others])
+            flat = np.concatenate([grams[j] for j in others])
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(size) - size)
+            linked = np.flatnonzero(100 * both >= percent * (len(own) + size - both))
             _, one = np.unique(comp[linked], return_index=True)
-            a += [int(ids[k])] * len(one)
-            b += ids[linked[one]].tolist()
+            a += [i] * len(one)
+            b += other[linked[one]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return sides.groupBy("key", "o", "m").applyInArrow(compare, "a long, b long")
+    pairs = materialize(sides.groupBy("key", "o", "m").applyInArrow(left_over, "key long, o int, m int, a long, others array<long>, comps array<long>"))
+    needed = materialize(pairs.select("key", "o", "m", F.explode(F.concat(F.array("a"), "others")).alias("id")).distinct())
+    sets = materialize(_with_sets(texts.of(needed.select("id").distinct())))
+    group = ("key", "o", "m")
+    return pairs.groupBy(*group).cogroup(needed.join(sets, "id").groupBy(*group)).applyInArrow(verify, "a long, b long")
 
 
 def _with_sets(texts: DataFrame) -> DataFrame:
-    """``doc_id, grams binary``: the sorted shingle hashes of each text."""
+    """``id, grams binary``: the sorted shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g.tobytes() for g in shingle_sets(batch.column(1))], pa.binary())], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g.tobytes() for g in shingle_sets(batch.column(1))], pa.binary())], ["id", "grams"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, grams binary")
+
+
+class Texts:
+    """The texts of classes, one for each, from all rows and the classes' representatives (materialised)."""
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, grams binary")
+    def __init__(self, rows: DataFrame, classes: DataFrame):
+        self.rows, self.classes = rows, classes.select("id", *ROW)
 
+    def of(self, ids: DataFrame) -> DataFrame:
+        """``id, text``, materialised. Rows that repeat an id and a text are reduced to one."""
+        keys = materialize(self.classes.join(small_enough(materialize(ids)), "id"))
+        found = materialize(self.rows.join(small_enough(keys), list(ROW)).select("id", "text"))
+        return found if found.count() == keys.count() else materialize(found.dropDuplicates(["id"]))
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs of representatives whose full shingle sets are similar enough. ``pairs`` is materialised."""
+
+def verified(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
+    """The pairs of classes whose full shingle sets are similar enough. ``pairs`` is materialised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,33 +235,29 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    wanted = materialize(texts.join(small_enough(ends), "doc_id"))
-    two = pairs.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    wanted = texts.of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    two = pairs.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicate_links(classes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """``(links (a, b), components)`` between classes; ``classes``: sketches with one row for each class, materialised.
-
-    ``texts``: the keyed text of their representatives (rows of other documents may be there too).
-    """
-    members = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
+def near_duplicate_links(classes: DataFrame, texts: Texts, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """``(links (a, b), components)`` between classes; ``classes``: ``id, sig, bands``, one row for each, materialised."""
+    members = classes.select("id", F.posexplode("bands").alias("band", "key"))
     # counts are written first: a join of two exchanges can split the partition of a key that very many members share
     shared = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     multi = materialize(members.join(shared, "key"))
     small, large = multi.where(F.col("n") <= SMALL), multi.where(F.col("n") > SMALL)
-    left, right = (small.select("key", F.col("doc_id").alias(x)) for x in "ab")
+    left, right = (small.select("key", F.col("id").alias(x)) for x in "ab")
     # pivots: the least member, the one that shares most with others (likely the origin of its copies), any one
-    weight = large.groupBy("doc_id").agg(F.sum("n").alias("weight"))  # at most a row for each band
-    pivots = large.join(weight, "doc_id").groupBy("key").agg(F.min("doc_id").alias("p1"), F.max_by("doc_id", "weight").alias("p2"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("p3"))
+    weight = large.groupBy("id").agg(F.sum("n").alias("weight"))  # at most a row for each band
+    pivots = large.join(weight, "id").groupBy("key").agg(F.min("id").alias("p1"), F.max_by("id", "weight").alias("p2"), F.min_by("id", F.xxhash64("id")).alias("p3"))
     pivots = materialize(pivots)
-    stars = large.join(pivots, "key").select("doc_id", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("p")).where("doc_id <> p")
-    pairs = left.join(right, "key").where("a < b").select("a", "b").unionByName(stars.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")))
+    stars = large.join(pivots, "key").select("id", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("p")).where("id <> p")
+    pairs = left.join(right, "key").where("a < b").select("a", "b").unionByName(stars.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")))
     tried = materialize(promising(pairs.distinct(), classes, percent / 100))
     links = materialize(verified(tried, texts, percent))
     comp = materialize(components(links))
-    labelled = large.select("band", "key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    labelled = large.select("band", "key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
     keys = materialize(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"))
     torn = materialize(labelled.join(keys, "key", "left_semi"))
     if torn.isEmpty():
@@ -231,16 +269,16 @@ def near_duplicate_links(classes: DataFrame, texts: DataFrame, percent: int = PE
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``."""
     prepare(docs.sparkSession)
-    texts = keyed_text(docs, id_col, text_col)
+    texts = row_texts(docs, id_col, text_col)
     every = materialize(sketches(texts))
-    full = every.where("n_shingles > 0 and doc_id is not null")
     key = ["n_shingles", "f1", "f2"]
-    firsts = materialize(full.groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    classes = materialize(full.join(firsts.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "sig", "bands"))
-    _, comp = near_duplicate_links(classes, texts, percent)
-    labelled = firsts.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    out = every.select("doc_id", *key).join(labelled, key, "left")
-    label = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    reps = numbered(every)
+    classes = materialize(every.join(reps, [*key, *ROW]).dropDuplicates(["id"]).select("id", "sig", "bands"))
+    _, comp = near_duplicate_links(classes, Texts(texts, reps), percent)
+    rooted = materialize(reps.select(*key, "id", F.col("doc_id").alias("least")).join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("component", "id")))
+    labels = materialize(rooted.groupBy("root").agg(F.min("least").alias("label")))
+    out = every.select("doc_id", *key).join(rooted.join(labels, "root").select(*key, "label"), key, "left")
+    label = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", label.alias("component_id"), (F.col("doc_id").eqNullSafe(label)).alias("kept"))
 
 

@@ -10,7 +10,8 @@
 
 Defined results: a null text counts as empty and is scored like any other; labels that are null or neither 0 nor 1
 are not learnt from; several labels of one id count as their mean; without any usable label every score is 0.5;
-an empty table gives an empty result; repeated rows get equal scores; other columns never enter a score.
+an empty table gives an empty result; repeated rows get equal scores (vectors are rounded to whole numbers whose
+products add up without error, so no sum depends on the shape of a batch); other columns never enter a score.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SHAPES = 10
 TERMS = BUCKETS + SHAPES * (BINS + 1)
 SAMPLE_ROWS, DIMS, NEIGHBOURS, SHARPNESS = 4096, 48, 11, 8
 BLOCK = 512
+#: Weights and latent vectors are multiples of these parts of 1. Sums of such products stay under 2**53, so they are exact.
+WEIGHT_UNIT, VECTOR_UNIT = 1 << 14, 1 << 20
 SLICE = 500_000
 
 _KIND = np.zeros(256, np.uint8)
@@ -84,8 +87,8 @@ class Model:
         return weigh(counts, self.idf)
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        x = self.weigh(counts) @ self.basis
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        """Latent vectors of length 1, in whole numbers of ``VECTOR_UNIT``."""
+        return latent(self.weigh(counts), self.basis)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """Similarity-weighted vote of the nearest labelled vectors, from all cosines, block by block."""
@@ -94,7 +97,7 @@ class Model:
         if not k:
             return out
         for a in range(0, len(counts), BLOCK):
-            cosine = self.latent(counts[a : a + BLOCK]) @ self.vectors.T
+            cosine = self.latent(counts[a : a + BLOCK]) @ self.vectors.T / VECTOR_UNIT**2
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.broadcast_to(np.arange(k), (len(cosine), k))
             weight = np.maximum(np.take_along_axis(cosine, near, 1).astype(np.float64), 1e-3) ** self.sharpness
             out[a : a + BLOCK] = (weight * self.labels[near]).sum(1) / weight.sum(1)
@@ -109,6 +112,11 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x
 
 
+def latent(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    z = np.rint(x.astype(np.float64) * WEIGHT_UNIT) @ np.rint(basis.astype(np.float64) * WEIGHT_UNIT)
+    return np.rint(z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12) * VECTOR_UNIT)
+
+
 def _counts_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     for first, last, data, offs in byte_slices(column, SLICE):
         yield first, last, term_counts(data, offs)
@@ -150,18 +158,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, dims
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), pa.array([x.astype(np.float16).tobytes() for x in counts], pa.binary())], ["doc_id", "label", "counts"])
 
     sample = F.broadcast(labelled_sample(labels, sample_rows))  # two numbers for each of at most sample_rows ids
-    # one text of an id is enough: a repeated id with different texts gives several rows, in a fixed order
-    got = docs.join(sample, "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label double, counts binary").toPandas()
-    got = got.sort_values(["doc_id", "counts"]).drop_duplicates("doc_id").reset_index(drop=True)
+    each = docs.join(sample, "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label double, counts binary")
+    # one text of an id is enough: of several, the least, chosen before anything reaches the driver
+    got = each.groupBy("doc_id", "label").agg(F.min("counts").alias("counts")).toPandas().sort_values("doc_id").reset_index(drop=True)
     if not len(got):
-        return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, sharpness)
+        return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1)), np.zeros(0), neighbours, sharpness)
     x = np.stack([np.frombuffer(c, np.float16) for c in got["counts"]]).astype(np.float32)
     x = weigh(x, idf)
     _, v = np.linalg.eigh((x.T @ x).astype(np.float64))
     basis = np.ascontiguousarray(v[:, ::-1][:, : min(dims, len(x))]).astype(np.float32)
-    z = x @ basis
-    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-    return Model(idf, basis, z.astype(np.float32), got["label"].to_numpy(np.float64), neighbours, sharpness)
+    return Model(idf, basis, latent(x, basis), got["label"].to_numpy(np.float64), neighbours, sharpness)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

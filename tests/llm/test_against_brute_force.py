@@ -62,8 +62,8 @@ def test_votes_are_those_of_all_cosines():
     r = np.random.default_rng(0)
     counts = np.abs(r.standard_normal((40, quality.TERMS))).astype(np.float32)
     m = quality.Model(np.ones(quality.TERMS, np.float32), r.standard_normal((quality.TERMS, 5)).astype(np.float32), r.standard_normal((30, 5)).astype(np.float32), r.integers(0, 2, 30).astype(float), 7, 2)
-    m.vectors /= np.linalg.norm(m.vectors, axis=1, keepdims=True)
-    z = m.latent(counts.copy())
+    m.vectors = np.rint(m.vectors / np.linalg.norm(m.vectors, axis=1, keepdims=True) * quality.VECTOR_UNIT)
+    z = m.latent(counts.copy()) / quality.VECTOR_UNIT**2
     for k, s in enumerate(m.scores(counts.copy())):
         c = m.vectors @ z[k]
         near = np.argsort(-c)[:7]
@@ -369,6 +369,34 @@ def test_mixing_reaches_targets(spark):
     assert {x.doc_id: x["count"] for x in copies} == {k: int(taken[k] / size[k] + 0.5) for k in taken if size[k] and int(taken[k] / size[k] + 0.5)}
 
 
+def test_targets_of_many_sources(spark):
+    r = random.Random(4)
+    sizes = {None if k == 0 else f"s{k:04d}": r.choice([0, 1, 5, 50, 10_000]) for k in range(300)}
+    got = {x.source: x for x in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    free, left, target = set(order), float(sum(sizes.values())), {}
+    while over := [s for s in free if left * weight[s] / sum(weight[x] for x in free) >= 3 * sizes[s]]:
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+        free -= set(over)
+        left = sum(sizes.values()) - sum(target.values())
+    target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    assert {s: x.weight for s, x in got.items()} == weight
+    assert all(got[s].target == pytest.approx(target[s]) for s in sizes)
+
+
+def test_repeated_rows_get_equal_scores(spark):
+    r = random.Random(6)
+    text = lambda: " ".join(r.choice(["some", "words", "Of", "123", "!?"]) for _ in range(r.randint(1, 90)))
+    rows = [(k, text()) for k in range(700)] + [(5000 + k, "the very same text, again and again") for k in range(300)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
+    scores = {x.score for n in (1, 3, 7) for x in quality.quality_scores(df.repartition(n), labels).where("doc_id >= 5000").collect()}
+    assert len(scores) == 1
+
+
 def test_curriculum_inverts_demand(spark):
     for slope in mixing.SLOPES:
         df = spark.range(0, 1001).select(F.col("id").alias("_begin"), F.lit(1000.0).alias("_target"), F.lit(slope).alias("_slope")).withColumn("t", mixing.due(F.col("_begin")))

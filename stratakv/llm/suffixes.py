@@ -1,25 +1,25 @@
 """Removal of long repeats by blockwise suffix sorting with difference-cover ranks.
 
-A byte goes if a string of ``WINDOW`` bytes that covers it also starts anywhere else. Sorting all suffixes of a corpus
-would move it many times over, so the suffixes are first put into buckets, and only buckets in which something
-is to be decided are sorted:
+A byte goes if a string of ``WINDOW`` bytes that covers it also starts anywhere else. The suffixes of all documents are
+put into buckets, and buckets are sorted block by block:
 
 1. Anchors. Each string of ``WINDOW`` bytes has an anchor: its ``GRAM`` bytes of least hash. Equal strings have equal
-   anchors at equal distances, so suffixes whose anchor occurs once are unique. Neighbouring suffixes mostly share
-   an anchor; one row stands for such a run (about one for 60 bytes), with a hash of all bytes the run reads.
-2. Runs that read equal bytes repeat as a whole. Left are anchors whose runs read different bytes: the ends of repeats.
-   One run of each kind is a member of the anchor's bucket; only these have their bytes looked up.
-3. Blockwise sort. Blocks of buckets are laid out by distance from the anchor. For a difference cover (modulo
-   ``PERIOD``) of the places, ranks of 16, 32, 64 and 128 bytes are computed by doubling. The suffixes of a
-   bucket that start at one distance are sorted by two cover ranks; only ties look at the at most 14 bytes between.
-   A block holds ``BLOCK_ROWS`` runs whatever the corpus, so memory is bounded.
-4. A bucket with more than ``HOT`` runs is dealt into parts, each sorted on its own. Sorting the bytes after the anchor
-   by range, and those before it, gives how far each run agrees with any other at all; strings within these bounds
-   that stay single in their part are counted across parts by 128-bit fingerprints (aggregated map-side first).
+   anchors at equal distances, so suffixes whose anchor occurs once are unique and are left out. That is all that
+   hashes decide. Neighbouring suffixes mostly share an anchor; one row stands for such a run (about one for 60 bytes).
+2. The runs of an anchor that occurs again are its bucket, with all bytes that they read. Blocks of whole buckets are laid
+   out by distance from the anchor and sorted. Runs that read equal bytes are one kind; a kind of two runs repeats whole.
+3. The kinds of a bucket are told apart string by string: for a difference cover (modulo ``PERIOD``) of the places, ranks
+   of 16, 32, 64 and 128 bytes are computed once for the block by doubling. Suffixes that start at one distance are
+   sorted by two cover ranks; only ties look at the at most 14 bytes between.
+   A block holds ``BLOCK_ROWS`` runs and at most a bucket more, whatever the corpus, so memory is bounded.
+4. A bucket with more than ``HOT`` runs is dealt into parts. Each is sorted into kinds, and one run of a kind goes on.
+   If still more than ``HOT`` are left, their parts are sorted like other buckets, and only strings that stay single in
+   their part are compared with those of other parts: as whole strings (aggregated map-side first), of which the bytes
+   before and after the anchor, sorted by range, agree with any other run at all.
 
 Repeats never cross documents. Defined results: null texts count as empty; texts under ``WINDOW`` bytes lose nothing;
-rows that repeat a text lose all of it (if it is long enough), also when they repeat the id; an empty table gives
-an empty result; other columns are ignored.
+rows that repeat a text lose all of it (if it is long enough), also when they repeat the id or have none; rows are told
+apart by id and a 128-bit hash of the text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,15 +41,19 @@ WINDOW, GRAM = 200, 64
 REACH = WINDOW - GRAM
 COLUMNS = REACH + WINDOW
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
-BLOCK_ROWS, HOT = 8192, 512
+BLOCK_ROWS, HOT = 8192, 4096
 #: Bytes of one numpy pass; texts are cut into overlapping passes, since only the string itself decides its anchor.
 PASS = 1 << 18
 _INDEX = np.uint64((1 << 24) - 1)
 _BYTE = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(h, r, first start, starts, distance)`` of the runs of one text's strings that share an anchor."""
+#: What tells rows apart: id and a 128-bit hash of the text.
+ROW = ("doc_id", "t1", "t2")
+
+
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(h, first start, starts, distance)`` of the runs of one text's strings that share an anchor."""
     parts = []
     for at in range(0, max(len(data) - WINDOW + 1, 0), PASS):
         d = data[at : at + PASS + WINDOW - 1]
@@ -67,44 +71,66 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             least = np.minimum(least[:-rest], least[rest:])
         place = (least & _INDEX).astype(np.int64)
         lo = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        count = np.diff(np.r_[lo, len(place)])
         p = place[lo]
-        read = mix((total[lo + count + WINDOW - 1] - total[lo]) * down[lo] + (count * 1024 + p - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        parts.append((gram[p], read, lo + at, count, p - lo))
+        parts.append((gram[p], lo + at, np.diff(np.r_[lo, len(place)]), p - lo))
     if not parts:
         e = np.zeros(0, np.int64)
-        return e.astype(np.uint64), e.astype(np.uint64), e, e, e
+        return e.astype(np.uint64), e, e, e
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def runs(texts: DataFrame) -> DataFrame:
-    """``h, r, doc_id, t, at`` for rows ``doc_id, text, t``: a row for each run.
+    """``h, doc_id, t1, t2, at`` for rows ``doc_id, text, t1, t2``: a row for each run.
 
-    ``at`` packs its first start, its starts and its distance; ``t`` tells rows apart that repeat an id with other texts.
+    ``at`` packs its first start, its starts and its distance.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_bytes(batch.column(1))
-            ids, keys, o = batch.column(0), batch.column(2), offs.tolist()
+            keys, o = [batch.column(c) for c in (0, 2, 3)], offs.tolist()
             held, out = 0, []
             for k in range(batch.num_rows):
-                x = data[o[k] : o[k + 1]]
-                h, r, lo, n, a = anchors(x)
+                h, lo, n, a = anchors(data[o[k] : o[k + 1]])
                 if len(h):
-                    out.append((h, r, np.full(len(h), k), lo << 20 | n << 10 | a))
+                    out.append((h, np.full(len(h), k), lo << 20 | n << 10 | a))
                     held += len(h)
                 if out and (held > 200_000 or k == batch.num_rows - 1):
-                    yield packed(out, ids, keys)
+                    yield packed(out, keys)
                     held, out = 0, []
-            if out:
-                yield packed(out, ids, keys)
 
-    def packed(out: list, ids: pa.Array, keys: pa.Array) -> pa.RecordBatch:
-        h, r, row, at = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), ids.take(pa.array(row)), keys.take(pa.array(row)), pa.array(at)], ["h", "r", "doc_id", "t", "at"])
+    def packed(out: list, keys: list[pa.Array]) -> pa.RecordBatch:
+        h, row, at = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(c.take(pa.array(row)) for c in keys), pa.array(at)], ["h", *ROW, "at"])
+
+    return texts.select("doc_id", "text", "t1", "t2").mapInArrow(run, "h long, doc_id long, t1 long, t2 long, at long")
+
+
+def regions(texts: DataFrame, again: DataFrame) -> DataFrame:
+    """``h, parts, doc_id, t1, t2, at, bytes``: the runs ``h, doc_id, t1, t2, at, parts`` with the bytes that they read."""
 
-    return texts.mapInArrow(run, "h long, r long, doc_id long, t int, at long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = text_bytes(batch.column(1))
+            raw, found = data.tobytes(), batch.column(4)
+            at, h, parts = (found.flatten().field(k).to_numpy() for k in range(3))
+            row = np.repeat(np.arange(batch.num_rows), found.value_lengths().to_numpy())
+            begin = offs[row] + (at >> 20)
+            end = begin + (at >> 10 & 1023) + WINDOW - 1
+            for k in range(0, len(row), 16_384):
+                part = slice(k, k + 16_384)
+                cut = [raw[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(parts[part]), *(batch.column(c).take(pa.array(row[part])) for c in (0, 2, 3)), pa.array(at[part]), pa.array(cut, pa.binary())], ["h", "parts", *ROW, "at", "bytes"])
+
+    # a set: rows that repeat an id and a text have the same runs. A document has fewer runs than bytes
+    by_doc = again.groupBy(*ROW).agg(F.collect_set(F.struct("at", "h", "parts")).alias("runs"))
+    return _with_row(texts, by_doc, "inner").select("doc_id", "text", "t1", "t2", "runs").mapInArrow(run, "h long, parts int, doc_id long, t1 long, t2 long, at long, bytes binary")
+
+
+def _with_row(texts: DataFrame, side: DataFrame, how: str) -> DataFrame:
+    """``texts`` joined with a side that has one row for each (id, text); ids may be null."""
+    side = side.withColumnsRenamed({"doc_id": "_id", "t1": "_1", "t2": "_2"})
+    return texts.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")), how).drop("_id", "_1", "_2")
 
 
 # -- the sort of a block ---------------------------------------------------------------------------------------
@@ -195,9 +221,6 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, first, np.nonzero(step == -1)[1]
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("spans", pa.list_(pa.int64())), ("open", pa.list_(pa.int64())), ("prints", pa.list_(pa.binary()))])
-
-
 def shared_length(contexts: DataFrame) -> DataFrame:
     """``h, context, ext``: the most leading bytes that a context has in common with another of its bucket.
 
@@ -231,75 +254,142 @@ def shared_length(contexts: DataFrame) -> DataFrame:
     return once.repartitionByRange(n, "h", "context").sortWithinPartitions("h", "context").mapInArrow(run, "h long, context binary, ext int")
 
 
-def sort_blocks(regions: DataFrame) -> DataFrame:
-    """``doc_id, t, spans, open, prints`` for runs ``h, part, parts, c, doc_id, t, at, bytes, before, after`` by ``h, part``.
+class Block:
+    """Whole buckets of runs ``h, part, at, bytes, ...``, laid out by distance from the anchor and sorted into kinds."""
 
-    ``spans``: first and end of ranges of starts that repeat. Of buckets in several parts, ``prints`` has fingerprints
-    of the strings that are the only or first of their kind in the part, ``open`` their starts (-1: repeats already).
-    ``before, after``: bytes before and after the anchor in which such a run agrees with any other.
-    """
-
-    def settle(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(tables).combine_chunks()
-        n = t.num_rows
+    def __init__(self, tables: list[pa.RecordBatch]):
+        self.table = t = pa.Table.from_batches(tables).combine_chunks()
+        self.n = n = t.num_rows
         at = t.column("at").to_numpy()
-        lo, starts, distance = at >> 20, at >> 10 & 1023, at & 1023
-        rows = np.zeros((n, COLUMNS), np.uint8)
+        self.lo, self.starts, self.distance = at >> 20, at >> 10 & 1023, at & 1023
+        self.rows = np.zeros((n, COLUMNS), np.uint8)
         data, offs = text_bytes(t.column("bytes"))
         size = np.diff(offs)
-        where = np.repeat(np.arange(n) * COLUMNS + REACH - distance - offs[:-1], size) + np.arange(len(data))
-        rows.ravel()[where] = data
+        where = np.repeat(np.arange(n) * COLUMNS + REACH - self.distance - offs[:-1], size)
+        where += np.arange(len(data))
+        self.rows.ravel()[where] = data
         h, part = t.column("h").to_numpy(), t.column("part").to_numpy()
-        change = np.r_[False, (h[1:] != h[:-1]) | (part[1:] != part[:-1])]
-        bucket = np.cumsum(change)
-        repeated = repeated_starts(rows, bucket, distance, starts)
-        single = t.column("c").to_numpy() == 1
-        before, after = t.column("before").to_numpy(), t.column("after").to_numpy()
-        spans: list[list[int]] = [[] for _ in range(n)]
-        r, a, b = _ranges(repeated & single[:, None])
-        begin = lo - (REACH - distance)
-        for i, x, y in zip(r.tolist(), (begin[r] + a).tolist(), (begin[r] + b).tolist(), strict=True):
-            spans[i] += (x, y)
-        opened: list[list[int]] = [[] for _ in range(n)]
-        prints: list[list[bytes]] = [[] for _ in range(n)]
-        for group in np.split(np.arange(n), np.flatnonzero(change)) if (t.column("parts").to_numpy() > 1).any() else []:
-            if t.column("parts")[int(group[0])].as_py() < 2:
+        self.change = np.r_[False, (h[1:] != h[:-1]) | (part[1:] != part[:-1])]
+        self.bucket = np.cumsum(self.change)
+        shape = np.stack([self.bucket, self.starts << 10 | self.distance], 1).astype(">u4").view(np.uint8).reshape(n, 8)
+        key = np.ascontiguousarray(np.concatenate([shape, self.rows], 1))
+        #: A run of each kind, the kind of each run, and how many runs each kind has. Kinds come in order of their buckets.
+        _, self.one, self.kind, self.count = np.unique(key.view(np.dtype((np.void, key.shape[1]))).ravel(), return_index=True, return_inverse=True, return_counts=True)
+
+    def numbers(self, name: str) -> np.ndarray:
+        return self.table.column(name).to_numpy()
+
+    def repeats(self, wanted: np.ndarray) -> np.ndarray:
+        """``(kinds, REACH + 1)``: whether the string that starts at a column is also one of another kind of its bucket."""
+        out = np.zeros((len(self.one), REACH + 1), bool)
+        bucket = self.bucket[self.one]
+        pick = np.flatnonzero(wanted & (np.bincount(bucket, minlength=self.n)[bucket] > 1))
+        if len(pick):
+            at = self.one[pick]
+            _, dense = np.unique(bucket[pick], return_inverse=True)
+            out[pick] = repeated_starts(self.rows[at], dense, self.distance[at], self.starts[at])
+        return out
+
+    def spans(self, flags: np.ndarray, rows: np.ndarray, whole: np.ndarray) -> pa.Array:
+        """For each run, first and end of its ranges of repeated starts: all of it for ``whole`` ones, else ``flags`` of ``rows``."""
+        r, a, b = _ranges(flags)
+        begin = (self.lo - (REACH - self.distance))[rows[r]]
+        row = np.concatenate([whole, rows[r]])
+        first, end = np.concatenate([self.lo[whole], begin + a]), np.concatenate([self.lo[whole] + self.starts[whole], begin + b])
+        order = np.argsort(row, kind="stable")
+        ends = np.cumsum(2 * np.bincount(row, minlength=self.n))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.stack([first, end], 1)[order].ravel(), pa.int64()))
+
+    def output(self, keep: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        own = {c: self.table.column(c).combine_chunks() for c in ROW}
+        out = pa.RecordBatch.from_arrays([*own.values(), *columns.values()], [*own, *columns])
+        return out.filter(pa.array(keep))
+
+
+def sort_buckets(found: DataFrame) -> DataFrame:
+    """``doc_id, t1, t2, spans, h, at, c, bytes, before, after`` for runs ``h, part, parts, ...`` that lie by ``h, part``.
+
+    ``spans``: first and end of ranges of starts that repeat. Of a part of a larger bucket, only equal runs are settled,
+    and one run of each kind goes on (``bytes`` and what surrounds the anchor, outwards; ``c``: runs of its kind).
+    """
+
+    def settle(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
+        k = Block(tables)
+        dealt = k.numbers("parts") > 1
+        many = k.count[k.kind] > 1
+        flags = k.repeats(~dealt[k.one]) & (k.count == 1)[:, None]
+        spans = k.spans(flags, k.one, np.flatnonzero(many))
+        on = np.zeros(k.n, bool)
+        on[k.one] = dealt[k.one]
+        at = np.flatnonzero(on)
+        read = k.table.column("bytes").combine_chunks()
+        raw, a = read.take(pa.array(at)).to_pylist(), k.distance[at].tolist()
+        where = pa.array(np.where(on, np.cumsum(on) - 1, 0), mask=~on)
+        side = lambda x: pa.array(x, pa.binary()).take(where)
+        sides = [side([x[:d][::-1] for x, d in zip(raw, a, strict=True)]), side([x[d + GRAM :] for x, d in zip(raw, a, strict=True)])]
+        keep = on | (np.diff(spans.offsets.to_numpy()) > 0)
+        return k.output(keep, {"spans": spans, "h": k.table.column("h").combine_chunks(), "at": k.table.column("at").combine_chunks(), "c": pa.array(k.count[k.kind], pa.int64()), "bytes": side(raw), "before": sides[0], "after": sides[1]})
+
+    return found.mapInArrow(lambda batches: _in_blocks(batches, settle), "doc_id long, t1 long, t2 long, spans array<long>, h long, at long, c long, bytes binary, before binary, after binary")
+
+
+def sort_parts(found: DataFrame) -> DataFrame:
+    """``doc_id, t1, t2, spans, open, strings`` for kinds ``h, part, parts, c, at, bytes, before, after`` by ``h, part``.
+
+    Of buckets in several parts, ``strings`` has those that are the only or first of their kind in the part, ``open``
+    their starts (-1: repeats already). ``before, after``: bytes before and after the anchor in which such a run agrees
+    with any other.
+    """
+
+    def settle(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
+        k = Block(tables)
+        flags = k.repeats(np.ones(len(k.one), bool))
+        fresh = k.numbers("c") == 1
+        again = k.count[k.kind] > 1
+        alone = np.flatnonzero(fresh & ~again)
+        spans = k.spans(flags[k.kind[alone]], alone, np.flatnonzero(fresh & again))
+        before, after, parts = k.numbers("before"), k.numbers("after"), k.numbers("parts")
+        opened: list[list[int]] = [[] for _ in range(k.n)]
+        strings: list[list[bytes]] = [[] for _ in range(k.n)]
+        for group in np.split(np.arange(k.n), np.flatnonzero(k.change)):
+            if parts[group[0]] < 2:
                 continue
-            seen: set[tuple[int, bytes]] = set()
+            seen: set[bytes] = set()
             for i in group.tolist():
-                raw, f = rows[i].tobytes(), int(REACH - distance[i])
+                raw, f, begin = k.rows[i].tobytes(), int(REACH - k.distance[i]), int(k.lo[i] - (REACH - k.distance[i]))
                 # a string has REACH - s bytes before the anchor and s after it
-                for s in range(max(f, REACH - int(before[i])), min(f + int(starts[i]), int(after[i]) + 1)):
-                    known = repeated[i, s] or not single[i]
-                    print_ = hashlib.blake2b(raw[s : s + WINDOW], digest_size=15).digest() + bytes([s])
-                    if known and (s, print_) in seen:
+                for s in range(max(f, REACH - int(before[i])), min(f + int(k.starts[i]), int(after[i]) + 1)):
+                    known = bool(flags[k.kind[i], s] or again[i] or not fresh[i])
+                    string = bytes([s]) + raw[s : s + WINDOW]
+                    if known and string in seen:
                         continue
-                    seen.add((s, print_))
-                    opened[i].append(-1 if known else int(begin[i]) + s)
-                    prints[i].append(print_)
-        keep = np.array([bool(x or y) for x, y in zip(spans, prints, strict=True)])
-        out = pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), t.column("t").combine_chunks(), pa.array(spans, pa.list_(pa.int64())), pa.array(opened, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.binary()))], schema=FOUND)
-        return out.filter(pa.array(keep, pa.bool_()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            while sum(b.num_rows for b in held) >= BLOCK_ROWS:
-                t = pa.Table.from_batches(held).combine_chunks()
-                h, part = t.column("h").to_numpy(), t.column("part").to_numpy()
-                cuts = np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1])) + 1
-                if not len(cuts):
-                    break  # one bucket so far: it goes on
-                upto = int(cuts[min(np.searchsorted(cuts, BLOCK_ROWS), len(cuts) - 1)])
-                yield settle(t.slice(0, upto).to_batches())
-                held = t.slice(upto).to_batches()
-                if upto < BLOCK_ROWS // 2:
-                    break
-        if held and sum(b.num_rows for b in held):
-            yield settle(held)
-
-    return regions.mapInArrow(run, "doc_id long, t int, spans array<long>, open array<long>, prints array<binary>")
+                    seen.add(string)
+                    opened[i].append(-1 if known else begin + s)
+                    strings[i].append(string)
+        keep = (np.diff(spans.offsets.to_numpy()) > 0) | np.array([bool(x) for x in strings])
+        return k.output(keep, {"spans": spans, "open": pa.array(opened, pa.list_(pa.int64())), "strings": pa.array(strings, pa.list_(pa.binary()))})
+
+    return found.mapInArrow(lambda batches: _in_blocks(batches, settle), "doc_id long, t1 long, t2 long, spans array<long>, open array<long>, strings array<binary>")
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch], settle) -> Iterator[pa.RecordBatch]:
+    """Rows in order of ``h, part``, cut into blocks of whole buckets."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(b.num_rows for b in held) >= BLOCK_ROWS:
+            t = pa.Table.from_batches(held).combine_chunks()
+            h, part = t.column("h").to_numpy(), t.column("part").to_numpy()
+            cuts = np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1])) + 1
+            if not len(cuts):
+                break  # one bucket so far: it goes on
+            upto = int(cuts[min(np.searchsorted(cuts, BLOCK_ROWS), len(cuts) - 1)])
+            yield settle(t.slice(0, upto).to_batches())
+            held = t.slice(upto).to_batches()
+            if upto < BLOCK_ROWS // 2:
+                break
+    if held and sum(b.num_rows for b in held):
+        yield settle(held)
 
 
 # -- from documents to documents -------------------------------------------------------------------------------
@@ -343,101 +433,49 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``spans``: first and end of each maximal removed range; ``kept``: the bytes left, if ``with_bytes``.
     """
     prepare(docs.sparkSession)
-    texts = keyed_text(docs, id_col, text_col).withColumn("t", F.hash("text"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = keyed_text(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
     every = runs(texts)
     # written first: a join of two exchanges can split the partition of an anchor that very many runs share
-    by_h = materialize(every.groupBy("h").agg(F.count("*").alias("n"), F.min("r").alias("x"), F.max("r").alias("y")).where("n > 1").select("h", (F.col("x") != F.col("y")).alias("mixed")))
+    by_h = materialize(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
     again = materialize(every.join(by_h, "h"))
-    mixed = again.where("mixed")
-    # one run of each kind stands for it in its bucket
-    kinds = mixed.groupBy("h", "r").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "t", "at")).alias("one"))
-    kinds = materialize(kinds.select("h", "r", "c", "one.*"))
+    dealt = regions(texts, again).withColumn("part", F.pmod(F.xxhash64(*ROW, "at"), F.col("parts")).cast("int"))
+    found = materialize(sort_buckets(dealt.repartition(n, "h", "part").sortWithinPartitions("h", "part")))
+    spans = found.where(F.size("spans") > 0).select(*ROW, "spans")
+    if not again.where("parts > 1").isEmpty():
+        spans = spans.unionByName(_hot_spans(found.where("bytes is not null"), n))
+    by_doc = spans.groupBy(*ROW).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return _with_row(texts, by_doc, "left").select("doc_id", "text", "spans").mapInArrow(_finish(with_bytes), RESULT)
+
+
+def _hot_spans(kinds: DataFrame, n: int) -> DataFrame:
+    """``doc_id, t1, t2, spans`` of the kinds that the parts of larger buckets sent on."""
     sizes = materialize(kinds.groupBy("h").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")))
-    members = materialize(kinds.join(sizes, "h").select("h", "r", "c", "doc_id", "t", "at", "parts"))
-    whole = again.where("not mixed").select("doc_id", "t", "at").unionByName(mixed.join(members.where("c > 1").select("h", "r"), ["h", "r"]).select("doc_id", "t", "at"))
-    item = F.struct("at", F.col("h"), F.col("c"), F.col("parts"))
-    none = F.lit(None)
-    both = whole.select("doc_id", "t", F.struct("at", none.cast("long").alias("h"), none.cast("long").alias("c"), none.cast("int").alias("parts")).alias("x")).unionByName(members.select("doc_id", "t", item.alias("x")))
-    # a set: rows that repeat an id and a text have the same runs. A document has fewer runs than bytes
-    by_doc = both.groupBy(F.col("doc_id").alias("id"), F.col("t").alias("key")).agg(F.collect_set("x").alias("runs"))
-    joined = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("key")), "left")
-    cut = materialize(_cut(joined.select("doc_id", "text", "t", "runs"), with_bytes))
-    regions = cut.where("kind = 2").select("h", F.pmod(F.xxhash64("doc_id", "at"), F.col("parts")).cast("int").alias("part"), "parts", "c", "doc_id", "t", "at", "bytes", "left", "right")
-    dealt = regions.where("parts > 1")
-    for side, name in (("left", "before"), ("right", "after")):
+    members = kinds.drop("spans").join(sizes, "h").withColumn("part", F.pmod(F.xxhash64(*ROW, "at"), F.col("parts")).cast("int"))
+    dealt = members.where("parts > 1")
+    for side in ("before", "after"):
         known = shared_length(dealt.select("h", F.col(side).alias("context")))
-        dealt = dealt.join(known.select("h", F.col("context").alias(side), F.col("ext").alias(name)), ["h", side])
-    plain = regions.where("parts = 1").withColumn("before", F.lit(REACH)).withColumn("after", F.lit(REACH))
-    columns = ("h", "part", "parts", "c", "doc_id", "t", "at", "bytes", "before", "after")
-    regions = plain.select(*columns).unionByName(dealt.select(*columns))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(sort_blocks(regions.repartition(n, "h", "part").sortWithinPartitions("h", "part")))
-    # strings of dealt buckets: single in their part, but known to another one
-    hot = found.where(F.size("prints") > 0).select("doc_id", "t", F.arrays_zip("open", "prints").alias("z")).repartition(n).select("doc_id", "t", F.explode("z").alias("z")).select("doc_id", "t", "z.open", "z.prints")
-    shared = hot.groupBy("prints").agg(F.count("*").alias("n"), F.min("open").alias("least")).where("n > 1").select("prints")
-    late = hot.where("open >= 0").join(shared, "prints", "left_semi").select("doc_id", "t", F.array(F.col("open"), F.col("open") + 1).alias("spans"))
-    more = found.where(F.size("spans") > 0).select("doc_id", "t", "spans").unionByName(late).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("spans")).alias("more"))
-    waiting = cut.where("kind = 1").select("doc_id", "t", "bytes", "spans")
-    more = more.withColumnsRenamed({"doc_id": "id", "t": "key"})
-    last = waiting.join(more, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("key")), "left").select("doc_id", "bytes", "spans", "more").mapInArrow(_finish(with_bytes), RESULT)
-    done = cut.where("kind = 0").select("doc_id", "n_bytes", "n_removed", "spans", F.col("bytes").alias("kept"), F.col("sha").alias("kept_sha256"))
-    return done.unionByName(last)
+        dealt = dealt.withColumnRenamed(side, "context").join(known, ["h", "context"]).drop("context").withColumnRenamed("ext", side)
+    plain = members.where("parts = 1").withColumn("before", F.lit(REACH)).withColumn("after", F.lit(REACH))
+    placed = plain.unionByName(dealt.select(*plain.columns))
+    found = materialize(sort_parts(placed.repartition(n, "h", "part").sortWithinPartitions("h", "part")))
+    # strings that are single in their part, but known to another one
+    hot = found.where(F.size("strings") > 0).select(*ROW, F.arrays_zip("open", "strings").alias("z")).repartition(n).select(*ROW, F.explode("z").alias("z")).select(*ROW, "z.open", F.col("z.strings").alias("string"))
+    shared = hot.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    late = hot.where("open >= 0").join(shared, "string", "left_semi").select(*ROW, F.array(F.col("open"), F.col("open") + 1).alias("spans"))
+    return found.where(F.size("spans") > 0).select(*ROW, "spans").unionByName(late)
 
 
 def _finish(with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[*x, *(y or [])] for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(_result(batch.column(0).to_pylist(), batch.column(1).to_pylist(), spans, with_bytes), ["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
+            texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
+            spans = [x or [] for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(_result(batch.column(0).to_pylist(), texts, spans, with_bytes), ["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
 
     return run
 
 
-def _cut(joined: DataFrame, with_bytes: bool) -> DataFrame:
-    """Documents that are settled (kind 0), documents that wait for the sort (1), and runs with their bytes (2)."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("bytes", pa.binary()), ("sha", pa.string()), ("t", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("parts", pa.int32()), ("at", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
-
-    def table(n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            settled, waiting, members = ([], [], []), ([], [], [], []), []
-            for k in range(batch.num_rows):
-                text, t, found = (batch.column(1)[k].as_py() or "").encode(), batch.column(2)[k].as_py(), batch.column(3)[k].as_py() or []
-                spans: list[int] = []
-                own = [y for y in found if y["h"] is not None]
-                for at in sorted(y["at"] for y in found if y["h"] is None or y["c"] > 1):
-                    a, b = at >> 20, (at >> 20) + (at >> 10 & 1023)
-                    if spans and a <= spans[-1]:
-                        spans[-1] = max(spans[-1], b)
-                    else:
-                        spans += (a, b)
-                if any(y["c"] == 1 for y in own):
-                    for col, v in zip(waiting, (ids[k], text, spans, t), strict=True):
-                        col.append(v)
-                else:
-                    for col, v in zip(settled, (ids[k], text, spans), strict=True):
-                        col.append(v)
-                for y in own:
-                    at, a = y["at"], y["at"] & 1023
-                    read = text[at >> 20 : (at >> 20) + (at >> 10 & 1023) + WINDOW - 1]
-                    # what surrounds the anchor, outwards: only dealt buckets need it
-                    sides = (read[:a][::-1], read[a + GRAM :]) if y["parts"] > 1 else (None, None)
-                    members.append((ids[k], t, y["h"], y["c"], y["parts"], at, read, *sides))
-            if settled[0]:
-                r = _result(*settled, with_bytes)
-                yield table(len(settled[0]), kind=[0] * len(settled[0]), doc_id=r[0], n_bytes=r[1], n_removed=r[2], spans=r[3], bytes=r[4], sha=r[5])
-            if waiting[0]:
-                yield table(len(waiting[0]), kind=[1] * len(waiting[0]), doc_id=waiting[0], bytes=waiting[1], spans=waiting[2], t=waiting[3])
-            if members:
-                c = list(zip(*members, strict=True))
-                yield table(len(members), kind=[2] * len(members), doc_id=c[0], t=c[1], h=c[2], c=c[3], parts=c[4], at=c[5], bytes=c[6], left=c[7], right=c[8])
-
-    return joined.mapInArrow(run, "kind int, doc_id long, n_bytes long, n_removed long, spans array<long>, bytes binary, sha string, t int, h long, c long, parts int, at long, left binary, right binary")
-
-
 #: The same rows by counting every string of the window's length, written in hex.
 ORACLE = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),

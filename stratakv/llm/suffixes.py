@@ -41,7 +41,7 @@ WINDOW, GRAM = 200, 64
 REACH = WINDOW - GRAM
 COLUMNS = REACH + WINDOW
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
-BLOCK_ROWS, HOT = 8192, 4096
+BLOCK_ROWS, HOT = 8192, 1024
 #: Bytes of one numpy pass; texts are cut into overlapping passes, since only the string itself decides its anchor.
 PASS = 1 << 18
 _INDEX = np.uint64((1 << 24) - 1)

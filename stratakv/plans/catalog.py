@@ -15,7 +15,7 @@ from stratakv.sources.objects import MemoryBackend, ObjectTier
 
 AS_OF = "2024-01-31 00:00:00"
 #: Overlapping rules, so that the first match differs from the longest.
-RULES = [("CAD/1", 86_400), ("CAD/", 2 * 86_400), ("tmp/", 3_600)]
+RULES = [("app/1", 86_400), ("app/", 2 * 86_400), ("tmp/", 3_600)]
 AGE, BATCH = 86_400, 10
 LRU_ENTRIES, LRU_BYTES, SHARDS = 20, 160, 3
 DISK_BYTES = 4_096
@@ -26,7 +26,7 @@ SQL_USERS = 2_048
 
 PRELUDE = """
 WITH oplog AS (SELECT event_id + 1 AS seq, ts, CASE WHEN event_type IN ('signup', 'purchase') THEN 'put' WHEN event_type = 'error' THEN 'delete' ELSE 'get' END AS op,
-  CASE user_id % 3 WHEN 0 THEN 'CAD/' WHEN 1 THEN 'tmp/' ELSE 'keep/' END || user_id AS key, CASE WHEN event_type IN ('signup', 'purchase') THEN props END AS value,
+  CASE user_id % 3 WHEN 0 THEN 'app/' WHEN 1 THEN 'tmp/' ELSE 'keep/' END || user_id AS key, CASE WHEN event_type IN ('signup', 'purchase') THEN props END AS value,
   CASE WHEN event_type IN ('signup', 'purchase') AND event_id % 4 = 0 THEN (event_id % 7 + 1) * 86400 END AS ttl_secs, CAST(event_id % 3 AS INTEGER) AS source_replica FROM events),
 writes AS (SELECT * FROM oplog WHERE op <> 'get'),
 last AS (SELECT * FROM writes QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1),
@@ -92,9 +92,9 @@ def previous_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oplog.previous_values(log_of(spark, sf_dir))
 
 
-@query("q03_point_get", "SELECT key, value FROM live WHERE key IN ('CAD/3', 'tmp/4', 'keep/5', 'none')")
+@query("q03_point_get", "SELECT key, value FROM live WHERE key IN ('app/3', 'tmp/4', 'keep/5', 'none')")
 def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiers.point_get(live_of(spark, sf_dir), ["CAD/3", "tmp/4", "keep/5", "none"]).select("key", "value")
+    return tiers.point_get(live_of(spark, sf_dir), ["app/3", "tmp/4", "keep/5", "none"]).select("key", "value")
 
 
 @query("q02b_entry_count", "SELECT key, sum(d)::BIGINT AS entries FROM (SELECT key, (op = 'put')::INT - coalesce(lag(op) OVER (PARTITION BY key ORDER BY seq) = 'put', false)::INT AS d FROM writes) GROUP BY key")
@@ -137,9 +137,9 @@ def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.promoted(tiers.lookup(gone_keys(spark, sf_dir), three), three["memory"]).select("key", "value")
 
 
-@query("q07_prefix_list", "SELECT key FROM live WHERE starts_with(key, 'CAD/') ORDER BY key")
+@query("q07_prefix_list", "SELECT key FROM live WHERE starts_with(key, 'app/') ORDER BY key")
 def prefix_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live_of(spark, sf_dir).where(F.col("key").startswith("CAD/")).select("key").orderBy("key")
+    return live_of(spark, sf_dir).where(F.col("key").startswith("app/")).select("key").orderBy("key")
 
 
 @query("q08_meta_scan", "SELECT key, created_at, updated_at, ttl_secs FROM live")
@@ -284,7 +284,7 @@ def _ring_sql() -> str:
     from stratakv.functions.xxh3 import xxh3
 
     points, shards = ring.Ring(SHARDS).points
-    keys = [("CAD/", "tmp/", "keep/")[u % 3] + str(u) for u in range(SQL_USERS)]
+    keys = [("app/", "tmp/", "keep/")[u % 3] + str(u) for u in range(SQL_USERS)]
     return (
         ", p(point, shard) AS (VALUES " + ", ".join(f"({x}::UBIGINT, {s})" for x, s in zip(points.tolist(), shards.tolist(), strict=True))
         + "), k(key, h) AS (VALUES " + ", ".join(f"('{k}', {xxh3(k)}::UBIGINT)" for k in keys)

@@ -55,12 +55,14 @@ class Engine:
         return self.objects.objects().select(F.col("original_key").alias("key"), "value", "created_at")
 
     def _tiers(self) -> dict[str, DataFrame]:
-        disk = self.disk.read()
+        lower = {"disk": self.disk.read(), "object": self._object_rows()}
         hot = self.spark.createDataFrame([(k,) for k in self.cache.held], "key string")
-        return {"memory": disk.join(F.broadcast(hot), "key", "left_semi"), "disk": disk, "object": self._object_rows()}
+        # a cached key answers from memory, also after its entry moved to the object tier
+        held = tiers.lookup(hot, lower).where("tier is not null").select("key", "value", "created_at")
+        return {"memory": held} | lower
 
     def put_batch(self, rows: DataFrame, as_of: str) -> DataFrame:
-        """``rows``: ``key, value`` and perhaps ``ttl_secs``, each key once. Returns ``key, previous``."""
+        """``rows``: ``key, value`` and perhaps ``ttl_secs``, each key once (else the batch is refused). Returns ``key, previous``."""
         ttl_secs = F.col("ttl_secs").cast("long") if "ttl_secs" in rows.columns else F.lit(None).cast("long")
         now = ttl.moment(as_of)
         fresh = rows.select("key", "value", now.alias("created_at"), now.alias("updated_at"), ttl_secs.alias("ttl_secs"))
@@ -76,10 +78,11 @@ class Engine:
         return tiers.contains(keys, self._tiers())
 
     def delete_batch(self, keys: DataFrame) -> DataFrame:
-        """``key, deleted``; the keys go from every tier."""
+        """``key, deleted``; the keys go from every tier, the cache included."""
         marks = materialize(tiers.delete_everywhere(keys, {"disk": self.disk.read(), "object": self._object_rows()})[1])
         self.disk.apply(deletes=marks.where("deleted"))
         self.objects.delete(keys.select(F.concat(F.lit(self.config.object_prefix), object_key(F.col("key"))).alias("object_key")))
+        self._forget(marks.select("key"))
         return marks
 
     def expire(self, as_of: str) -> int:
@@ -88,7 +91,6 @@ class Engine:
         n = gone.count()
         if n:
             self.delete_batch(gone)
-            self._forget(gone)
         return n
 
     def _forget(self, gone: DataFrame) -> None:
@@ -130,8 +132,12 @@ class Engine:
     def get(self, key: str) -> dict | None:
         """``key, value, tier``; reads through the cache."""
         if self.cache.get(key):
-            row = tiers.point_get(self._tiers()["disk"].unionByName(self._object_rows(), allowMissingColumns=True), [key]).first()
-            return {"key": key, "value": row.value, "tier": "memory"} if row else None
+            lower = {"disk": tiers.point_get(self.disk.read(), [key]), "object": self._object_rows()}
+            row = tiers.lookup(self.spark.createDataFrame([(key,)], "key string"), lower).first()
+            if row.tier is not None:
+                return {"key": key, "value": row.value, "tier": "memory"}
+            self.cache.delete(key)
+            return None
         row = self.get_batch(self.spark.createDataFrame([(key,)], "key string")).first()
         if row is None or row.tier is None:
             return None

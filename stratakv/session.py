@@ -29,9 +29,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a local temporary one only where that is unset."""
+    """A fresh folder below ``spark.checkpoint.dir``; a temporary one where that is unset and all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "stratakv-scratch")
     return f"{base.rstrip('/')}/stratakv-{uuid.uuid4().hex}"
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratakv.session import materialize
+from stratakv.session import scratch_dir
 from stratakv.sources.versions import VersionedTable
 
 OBJECT = T.StructType([T.StructField("object_key", T.StringType()), T.StructField("value", T.StringType()), T.StructField("size_bytes", T.LongType()), T.StructField("created_at", T.TimestampNTZType()), T.StructField("original_key", T.StringType()), T.StructField("content_type", T.StringType())])
@@ -41,29 +41,6 @@ class Backend(ABC):
         return self.objects().select("object_key").where(F.col("object_key").startswith(prefix))
 
 
-class MemoryBackend(Backend):
-    """Objects of this session; each change is written to the scratch folder, so rows don't hang on their sources."""
-
-    def __init__(self, spark: SparkSession):
-        self._rows = spark.createDataFrame([], OBJECT)
-
-    def objects(self) -> DataFrame:
-        return self._rows
-
-    def put(self, rows: DataFrame) -> None:
-        rows = materialize(rows)
-        self._rows = materialize(self._rows.join(rows.select("object_key"), "object_key", "left_anti").unionByName(rows))
-
-    def delete(self, keys: DataFrame) -> None:
-        self._rows = materialize(self._rows.join(keys.select("object_key"), "object_key", "left_anti"))
-
-    def clear(self) -> None:
-        self._rows = self._rows.limit(0)
-
-    def count(self) -> int:
-        return self._rows.count()
-
-
 class ParquetBackend(Backend):
     """Objects as a versioned table on any Hadoop file system (local, abfss, s3a, ...)."""
 
@@ -80,6 +57,19 @@ class ParquetBackend(Backend):
         self.table.apply(deletes=keys)
 
 
+class MemoryBackend(ParquetBackend):
+    """Objects of this session: a table in the scratch folder, so a change costs its own size and rows don't hang on their sources."""
+
+    def __init__(self, spark: SparkSession):
+        super().__init__(spark, scratch_dir(spark))
+
+    def clear(self) -> None:
+        self.__init__(self.table.spark)
+
+    def count(self) -> int:
+        return self.objects().count()
+
+
 def blob_files(spark: SparkSession, path: str) -> DataFrame:
     """Objects stored as one file each: what a blob store can tell of them (time of change, full name)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

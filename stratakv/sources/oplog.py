@@ -16,7 +16,7 @@ def from_events(events: DataFrame) -> DataFrame:
     """One operation for each event: sign-ups and purchases put, errors delete, views and clicks get."""
     kind = F.col("event_type")
     op = F.when(kind.isin("signup", "purchase"), "put").when(kind == "error", "delete").otherwise("get")
-    prefix = F.element_at(F.array(F.lit("CAD/"), F.lit("tmp/"), F.lit("keep/")), (F.col("user_id") % 3 + 1).cast("int"))
+    prefix = F.element_at(F.array(F.lit("app/"), F.lit("tmp/"), F.lit("keep/")), (F.col("user_id") % 3 + 1).cast("int"))
     return events.select(
         (F.col("event_id") + 1).alias("seq"), "ts", op.alias("op"), F.concat(prefix, F.col("user_id").cast("string")).alias("key"), F.when(op == "put", F.col("props")).alias("value"),
         F.when((op == "put") & (F.col("event_id") % 4 == 0), (F.col("event_id") % 7 + 1) * DAY).alias("ttl_secs"), (F.col("event_id") % 3).cast("int").alias("source_replica"),

@@ -1,15 +1,17 @@
 """Tables that change by segments: a base and the batches since, folded when read, compacted now and then.
 
 Plain parquet can't be changed in place, and rewriting a large table for each batch would move all of it. A batch is
-written as a segment of its own (new rows, and tombstones for deleted keys); one small manifest names the segments in
-order, with their row counts, and is replaced as the last step, so a failed job leaves the table as it was. Reading
-takes the last word on each key. Readers keep the segments that they opened; those of the last ``KEEP`` compactions stay.
+written as a segment of its own (new rows, and tombstones for deleted keys); a small manifest names the segments in
+order, with their row counts. Manifests are numbered: the next one is written under another name and renamed as the
+last step, and only then older ones go, so a job that fails at any point leaves the table as it was. Segments
+without any manifest are an error, not an empty table. Reading takes the last word on each key. Readers keep the segments that they opened; those of the last ``KEEP`` compactions stay.
 Paths go through Hadoop's file system, so a table can be on any of its schemes. There is one writer at a time.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,26 +34,44 @@ class VersionedTable:
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _versions(self) -> list[int]:
+        """Numbers of the manifests, in order."""
+        fs, pattern = self._fs("MANIFEST-*")
+        names = [f.getPath().getName().partition("-")[2] for f in fs.globStatus(pattern) or []]
+        return sorted(int(n) for n in names if n.isdigit())
+
     def manifest(self) -> dict:
-        """``{"next": number, "segments": [[number, rows], ...], "old": [[numbers of a compaction], ...]}``; the first is the base."""
-        fs, p = self._fs("MANIFEST")
-        if not fs.exists(p):
-            return {"next": 0, "segments": [], "old": []}
+        """``{"version", "next", "segments": [[number, rows], ...], "old": [[numbers of a compaction], ...], "tags"}``; the first segment is the base."""
+        versions = self._versions()
+        if not versions:
+            fs, segments = self._fs("s[0-9]*")
+            if fs.globStatus(segments):
+                raise OSError(f"{self.path}: there are segments, but no manifest")
+            return {"version": -1, "next": 0, "segments": [], "old": [], "tags": {}}
+        fs, p = self._fs(f"MANIFEST-{versions[-1]}")
         stream = fs.open(p)
         try:
             return json.loads(stream.readUTF())
         finally:
             stream.close()
 
-    def _replace(self, manifest: dict) -> None:
-        fs, new = self._fs("MANIFEST.new")
+    def _replace(self, before: dict, **changes) -> None:
+        """The manifest after ``before``. A second writer finds the name taken and fails."""
+        version = before["version"] + 1
+        fs, new = self._fs(f"_manifest-{uuid.uuid4().hex}")
         stream = fs.create(new, True)
-        stream.writeUTF(json.dumps(manifest))
+        stream.writeUTF(json.dumps(before | changes | {"version": version}))
         stream.close()
-        _, current = self._fs("MANIFEST")
-        fs.delete(current, False)
-        if not fs.rename(new, current):
-            raise OSError(f"{self.path}: the new manifest can't take its place")
+        _, name = self._fs(f"MANIFEST-{version}")
+        if fs.exists(name) or not fs.rename(new, name):
+            fs.delete(new, False)
+            raise OSError(f"{self.path}: manifest {version} is there already")
+        for k in self._versions()[:-KEEP]:
+            fs.delete(self._fs(f"MANIFEST-{k}")[1], False)
+
+    def tags(self) -> dict:
+        """What the last batches noted, such as the epochs of streams."""
+        return self.manifest()["tags"]
 
     def _scan(self, numbers: list[int]) -> DataFrame:
         return self.spark.read.schema(self.stored).parquet(*[f"{self.path}/s{n}" for n in numbers])
@@ -83,9 +103,15 @@ class VersionedTable:
         rows.repartitionByRange(n, self.key).sortWithinPartitions(self.key).write.mode("overwrite").parquet(f"{self.path}/s{number}")
         return self._scan([number]).count()
 
-    def apply(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> None:
-        """One batch: rows to put (each key once) and keys to delete; a key in both is put."""
+    def apply(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, tags: dict | None = None) -> None:
+        """One batch: rows to put and keys to delete; a key in both is put. A key that is null or put twice is refused.
+
+        ``tags`` are noted in the manifest in the same step.
+        """
         m = self.manifest()
+        if m["version"] < 0:
+            self._replace(m)
+            m = self.manifest()
         parts = []
         if upserts is not None:
             parts.append(upserts.select(*[f.name for f in self.schema]).withColumn("_gone", F.lit(False)))
@@ -97,10 +123,15 @@ class VersionedTable:
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         n = m["next"]
         count = self._write(n, rows.withColumn("_n", F.lit(n)))
+        if upserts is not None and self._scan([n]).agg(F.count_distinct(self.key)).first()[0] != count:
+            fs, segment = self._fs(f"s{n}")
+            fs.delete(segment, True)
+            raise ValueError("a batch holds a key twice, or one that is null")
+        old = m["old"]
         if not m["segments"]:  # nothing to delete from yet: a base
             count = self._write(n + 1, self._scan([n]).where("not _gone"))
-            m["old"], n = [*m["old"], [n]], n + 1
-        self._replace({"next": n + 1, "segments": [*m["segments"], [n, count]], "old": m["old"]})
+            old, n = [*old, [n]], n + 1
+        self._replace(m, next=n + 1, segments=[*m["segments"], [n, count]], old=old, tags=m["tags"] | (tags or {}))
         if len(m["segments"]) >= BATCHES:
             self.compact()
 
@@ -110,7 +141,7 @@ class VersionedTable:
         n = m["next"]
         count = self._write(n, self.read().withColumn("_n", F.lit(n)).withColumn("_gone", F.lit(False)))
         old = [*m["old"], [k for k, _ in m["segments"]]]
-        self._replace({"next": n + 1, "segments": [[n, count]], "old": old[-KEEP:]})
+        self._replace(m, next=n + 1, segments=[[n, count]], old=old[-KEEP:])
         for numbers in old[:-KEEP]:
             for k in numbers:
                 fs, p = self._fs(f"s{k}")

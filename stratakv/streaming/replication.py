@@ -8,11 +8,13 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratakv.operators.lru import Cache
-from stratakv.session import scratch_dir
+from stratakv.session import materialize, scratch_dir
+from stratakv.sources.versions import VersionedTable
 
-STATE = "key string, seq long, op string, value string, ts timestamp_ntz, ttl_secs long"
+STATE = T.StructType([T.StructField("key", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), T.StructField("value", T.StringType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("ttl_secs", T.LongType())])
 
 
 def newest(rows: DataFrame) -> DataFrame:
@@ -21,27 +23,33 @@ def newest(rows: DataFrame) -> DataFrame:
 
 
 class Fold:
-    """Latest-wins state in versioned folders: a batch writes a new version, then it becomes the current one.
+    """Latest-wins state in a segmented table: a micro-batch writes what it changes, not the whole state.
 
-    Replaying a batch gives the same state, so the stream's at-least-once delivery is harmless.
+    The table's manifest notes the last epoch of each checkpoint in the same step. A new ``Fold`` on the same path goes
+    on from there, and a batch that is delivered again is left out (its rows would change nothing anyway).
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.version = spark, path or scratch_dir(spark), -1
+        self.path = path or scratch_dir(spark)
+        self.table = VersionedTable(spark, f"{self.path}/state", STATE)
+        self.checkpoint = f"{self.path}/checkpoint"
 
     def state(self) -> DataFrame:
-        if self.version < 0:
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(f"{self.path}/v{self.version}")
+        return self.table.read()
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
-        rows = batch.where(F.col("op").isin("put", "delete")).select("key", "seq", "op", "value", "ts", "ttl_secs")
-        newest(self.state().unionByName(rows)).write.mode("overwrite").parquet(f"{self.path}/v{epoch}")
-        self.version = epoch
+        if epoch <= self.table.tags().get(self.checkpoint, -1):
+            return
+        fresh = newest(batch.where(F.col("op").isin("put", "delete")).select(*STATE.names))
+        fresh = materialize(fresh)
+        # an entry of the state stays if its sequence is higher
+        known = self.state().join(fresh.select("key"), "key", "left_semi")
+        self.table.apply(upserts=newest(known.unionByName(fresh)), tags={self.checkpoint: epoch})
 
     def run(self, stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
         """Drains what is available and returns the live entries."""
-        query = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint or f"{self.path}/checkpoint").trigger(availableNow=True).start()
+        self.checkpoint = checkpoint or self.checkpoint
+        query = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         return self.state().where("op = 'put'").select("key", "value", F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), "ttl_secs", "seq")
 

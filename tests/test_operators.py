@@ -127,8 +127,8 @@ def test_rules_text(text, rules):
 
 
 def test_configuration_defaults_are_silent():
-    c = config.StoreConfig.from_env({"MEMORY_MAX_SIZE_MB": "junk", "TTL_RULES": "CAD/:7d", "POD_NAME": "kv-2", "CACHE_ONLY": "yes"})
-    assert (c.memory_bytes, c.ttl_rules, c.shard_id, c.cache_only) == (256 << 20, [("CAD/", 604_800)], 2, False)
+    c = config.StoreConfig.from_env({"MEMORY_MAX_SIZE_MB": "junk", "TTL_RULES": "app/:7d", "POD_NAME": "kv-2", "CACHE_ONLY": "yes"})
+    assert (c.memory_bytes, c.ttl_rules, c.shard_id, c.cache_only) == (256 << 20, [("app/", 604_800)], 2, False)
     assert config.pod_shard("nope") == 0
     assert config.proxy_addresses({"TOTAL_SHARDS": "2"})[1].startswith("stratakv-1.stratakv.default.svc")
     assert config.proxy_addresses({"SHARD_ADDRESSES": "a:1, b:2"}) == ["a:1", "b:2"]

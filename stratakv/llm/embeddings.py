@@ -10,13 +10,16 @@
    no list changes but those full of links (step 4 takes these). The floor is the cosine of twice the link angle: if v links to a neighbour of u that
    links to u, cosine(u, v) is not below it (the triangle inequality of angles), so nothing that a path of two
    links reaches is cut off.
-4. A list that is full of links is saturated: it may hide more. Its component's lists are enlarged to the whole
-   component: all its members are compared, in pairs of blocks of at most ``BLOCK`` vectors, each pair a task's
-   group of its own, from which counts and a spanning forest of links come out, not the links one by one.
+4. A list that is full of links is saturated: it may hide more. The lists of its component are doubled and descended
+   again, and so on until none is full. Where a component has no more than ``WORTH`` times the square of a list's size
+   in members, comparing all of them costs less than joining such lists: its lists are enlarged to the whole component,
+   in pairs of blocks of at most ``BLOCK`` vectors, each pair a task's group of its own, from which counts and a spanning
+   forest of links come out, not the links one by one. So work follows the links, or a bounded number a vector.
 5. Audit: vectors chosen by a hash are compared with every row by brute force, in blocks: ``AUDIT`` of enlarged
    components, ``AUDIT`` of others with links and ``UNLINKED`` of those without. Each vector that has links counts
    once, however many it has. While the mean recall of the first or of the other vectors is under ``RECALL``,
-   further tables of hyperplanes are added (up to ``ROUNDS``), then it fails.
+   further tables of hyperplanes are added (up to ``ROUNDS``), then it fails. Where no vector of the sample has a link,
+   recall is unmeasured, and what holds is the bound of step 2.
 
 Links are exact: cosine in double precision at least the threshold; none below it is kept.
 
@@ -46,7 +49,7 @@ AIM, LEAF, LIST = 256, 512, 8
 MISS = 1e-3
 #: Lists only get better, so NN-descent ends; iterations after which something is wrong.
 ITERATIONS = 60
-BLOCK = 512
+BLOCK, WORTH = 512, 64
 AUDIT, UNLINKED, RECALL, ROUNDS = 512, 2048, 0.98, 3
 
 
@@ -209,9 +212,11 @@ def enlarged(component: DataFrame, classes: DataFrame, threshold: float) -> tupl
     return out.groupBy("id").agg(F.sum("n").alias("n")), out.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
 
 
-def audit(classes: DataFrame, counts: DataFrame, threshold: float, sample: int = AUDIT, unlinked: int = UNLINKED) -> float:
+def audit(classes: DataFrame, counts: DataFrame, threshold: float, sample: int = AUDIT, unlinked: int = UNLINKED) -> float | None:
     """Mean recall of a class's links against brute force: the lower one of enlarged components and of all others.
 
+    None if no vector of the sample has a link: nothing was measured.
+
     ``counts``: ``id, n, whole``, where ``whole`` says that ``n`` comes from an enlarged component. Classes without
     links have no recall; those that seem to have none are sampled apart, as few of them hold what was missed.
     """
@@ -240,11 +245,11 @@ def audit(classes: DataFrame, counts: DataFrame, threshold: float, sample: int =
     each["recall"] = np.minimum(each["n"], each["exact"]) / np.maximum(each["exact"], 1)
     means = each.groupby("kind")[["linked", "recall"]].mean()
 
-    def mean_recall(kinds: tuple[int, ...]) -> float:
+    def mean_recall(kinds: tuple[int, ...]) -> list[float]:
         held, got = (sum(sizes[k] * means.loc[k, x] for k in kinds if k in means.index) for x in ("linked", "recall"))
-        return float(got / held) if held else 1.0
+        return [float(got / held)] if held else []
 
-    return min(mean_recall((2,)), mean_recall((0, 1)))
+    return min(mean_recall((2,)) + mean_recall((0, 1)), default=None)
 
 
 def numbered(every: DataFrame) -> DataFrame:
@@ -268,9 +273,10 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
         leaves = leaf_links(classes, n, range(k * tables, (k + 1) * tables), floor)
         graph = materialize(best(_both(leaves if graph is None else leaves.unionByName(graph)), LIST))
         graph = descend(graph, classes, floor, LIST, threshold)
-        links = materialize(_both(graph.where(F.col("sim") >= threshold)).select("u", "v").distinct())
-        counts, pairs = _counts(links, graph, classes, threshold)
-        if audit(classes, counts, threshold) >= RECALL:
+        graph, whole = lists_enlarged(graph, classes, floor, threshold)
+        counts, pairs = _counts(graph, whole, classes, threshold)
+        recall = audit(classes, counts, threshold)
+        if recall is None or recall >= RECALL:
             break
     else:
         raise RuntimeError("the audit's recall stays too low")
@@ -283,15 +289,32 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), label.alias("component_id"), F.col("vec_id").eqNullSafe(label).alias("kept"))
 
 
-def _counts(links: DataFrame, graph: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """``(id, n, whole)`` links of each class with multiplicity (``whole``: from an enlarged component), and links ``(a, b)`` that span all components."""
+def lists_enlarged(graph: DataFrame, classes: DataFrame, floor: float, threshold: float, worth: int = WORTH) -> tuple[DataFrame, DataFrame]:
+    """``graph`` without lists that hide links, but for those of the components ``(id, component)`` that are to be compared whole."""
+    size, settled, whole = LIST, None, None
+    both = lambda x, y: y if x is None else x.unionByName(y)
+    while True:
+        pairs = graph.where(F.col("sim") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        comp = materialize(components(pairs).select(F.col("node").alias("id"), "component"))
+        hiding = materialize(comp.join(full_lists(graph, threshold, size), "id", "left_semi").select("component").distinct())
+        inside = materialize(comp.join(hiding, "component", "left_semi"))
+        large = materialize(inside.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > worth * size * size).select("component"))
+        whole = both(whole, inside.join(large, "component", "left_anti").select("id", "component"))
+        if large.isEmpty():
+            return materialize(both(settled, graph)), materialize(whole)
+        members = materialize(inside.join(large, "component", "left_semi").select("id"))
+        settled = both(settled, graph.join(members.withColumnRenamed("id", "u"), "u", "left_anti"))
+        own = graph.join(members.withColumnRenamed("id", "u"), "u", "left_semi").join(members.withColumnRenamed("id", "v"), "v", "left_semi")
+        size *= 2
+        graph = descend(materialize(best(_both(own), size)), materialize(classes.join(members, "id", "left_semi")), floor, size, threshold)
+
+
+def _counts(graph: DataFrame, whole: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``(id, n, whole)`` links of each class with multiplicity (``whole``: from a whole component), and links ``(a, b)`` that span all components."""
+    links = materialize(_both(graph.where(F.col("sim") >= threshold)).select("u", "v").distinct())
+    more, spanning = enlarged(whole, classes, threshold)
+    plain = links.join(whole.select(F.col("id").alias("u")), "u", "left_anti").join(classes.select(F.col("id").alias("v"), "mult"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("mult").alias("n"))
     pairs = links.where("u < v").select(F.col("u").alias("a"), F.col("v").alias("b"))
-    full = full_lists(graph, threshold)
-    comp = materialize(components(pairs).select(F.col("node").alias("id"), "component"))
-    which = materialize(comp.join(full, "id", "left_semi").select("component").distinct())
-    inside = comp.join(which, "component", "left_semi")
-    more, spanning = enlarged(inside, classes, threshold)
-    plain = links.join(inside.select(F.col("id").alias("u")), "u", "left_anti").join(classes.select(F.col("id").alias("v"), "mult"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("mult").alias("n"))
     return materialize(plain.withColumn("whole", F.lit(False)).unionByName(more.withColumn("whole", F.lit(True)))), pairs.unionByName(spanning)
 
 

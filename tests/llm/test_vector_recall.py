@@ -44,6 +44,8 @@ def test_audit_weighs_vectors_not_links(spark):
     schema = "id long, n long, whole boolean"
     # every link of the pairs is missed, 60 of 9,960
     assert embeddings.audit(classes, spark.createDataFrame(rows, schema), 0.95) < embeddings.RECALL
+    unlinked = as_classes(spark, r.standard_normal((200, 64)))
+    assert embeddings.audit(unlinked, spark.createDataFrame([], schema), 0.95) is None  # unmeasured, not perfect
     assert embeddings.audit(classes, spark.createDataFrame(rows + [(k, 1, False) for k in range(100, 160)], schema), 0.95) == 1
 
 
@@ -65,3 +67,26 @@ def test_vectors_of_one_id_are_classes_of_their_own(spark):
     rows = [(7, a), (7, b), (8, a), (9, b), (10, near_b)]
     got = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(7, 1, 7, True), (7, 2, 7, True), (8, 1, 7, False), (9, 2, 7, False), (10, 2, 7, False)]
+
+
+def test_lists_double_until_none_is_full(spark):
+    # a long path of vectors that link to some 20 of their neighbours on it, far more members than a list has places
+    r = np.random.default_rng(5)
+    x = [r.standard_normal(32)]
+    for _ in range(499):
+        v = x[-1] / np.linalg.norm(x[-1]) + 0.018 * r.standard_normal(32)
+        x.append(v)
+    x = np.array(x)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= embeddings.THRESHOLD
+    np.fill_diagonal(near, False)
+    classes = as_classes(spark, x)
+    floor = np.cos(2 * np.arccos(embeddings.THRESHOLD))
+    start = embeddings._both(embeddings.leaf_links(classes, len(x), range(embeddings.table_count(len(x))), floor))
+    graph = embeddings.descend(materialize(embeddings.best(start, embeddings.LIST)), classes, floor)
+    graph, whole = embeddings.lists_enlarged(graph, classes, floor, embeddings.THRESHOLD, worth=0.05)
+    assert near.sum(1).max() > 2 * embeddings.LIST
+    assert whole.count() == 0  # no component was compared whole
+    counts, _ = embeddings._counts(graph, whole, classes, embeddings.THRESHOLD)
+    got = {r.id: r.n for r in counts.collect()}
+    assert np.mean([got.get(k, 0) == n for k, n in enumerate(near.sum(1).tolist())]) > 0.99

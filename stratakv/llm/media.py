@@ -1,9 +1,10 @@
 """ISO media containers (ISO/IEC 14496-12): write, walk and describe without decoding payloads.
 
-``describe`` walks the nested boxes, decodes the sample tables (stsd, stts, stss, stsc, stsz/stz2, stco/co64)
-and reports for each track its codec, duration and the byte ranges of its sync samples (keyframes). Payload
-bytes are never decoded, only located. A file that is cut or malformed gives an error text and what could be
-read, never an exception; so does a fragmented file (moof), whose samples are not decoded. ``wrap`` stores bytes losslessly as the samples of one track.
+``describe`` walks the nested boxes, decodes the sample tables (stsd, stts, stss, stsc, stsz/stz2, stco/co64) and those
+of movie fragments (trex, tfhd, trun), and reports for each track its codec, duration and the byte ranges of its sync
+samples (keyframes). The duration is that of the edit list, else of the header, else (unknown there, or in fragments) the
+sum of the samples'. Payload bytes are never decoded, only located. A file that is cut or malformed gives an error
+text and what could be read, never an exception. ``wrap`` stores bytes losslessly as the samples of one track.
 
 Null media count as empty bytes, which is an error ("no boxes"); repeated rows are described row by row; an empty
 table gives an empty result; other columns are ignored. Box sizes of 64 bits and "to the end" are followed.
@@ -37,17 +38,30 @@ MAX_SAMPLES = 1 << 28
 class Track:
     codec: str = ""
     handler: str = ""
+    number: int = 0
     timescale: int = 0
+    #: Of the media header; 0 if unknown.
     duration: int = 0
+    #: Of the edit list's segments, in the movie's time scale.
+    edited: int = 0
+    movie_scale: int = 0
     time_deltas: list[tuple[int, int]] = field(default_factory=list)
     sync: np.ndarray | None = None
-    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    table_sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     chunks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     per_chunk: list[tuple[int, int]] = field(default_factory=list)
+    #: Duration, size and flags of a fragment's samples where it says nothing else.
+    defaults: tuple[int, int, int] = (0, 0, 0)
+    #: ``(offsets, sizes, sync, ticks)`` of each run of a fragment.
+    runs: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = field(default_factory=list)
+    #: All samples, once ``resolve`` has put them together: first byte, length, numbers of the keyframes.
+    at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
-    def offsets(self) -> np.ndarray:
-        """Byte offset of each sample, from its chunk and the sizes of those before it in the chunk."""
-        n, k = len(self.sizes), len(self.chunks)
+    def table_offsets(self) -> np.ndarray:
+        """Byte offset of each sample of the tables, from its chunk and the sizes of those before it in the chunk."""
+        n, k = len(self.table_sizes), len(self.chunks)
         if not n or not k or not self.per_chunk:
             return np.zeros(0, np.int64)
         first = np.array([a - 1 for a, _ in self.per_chunk])
@@ -56,21 +70,28 @@ class Track:
         chunk_of = np.repeat(np.arange(k), in_chunk)[:n]
         if len(chunk_of) < n:
             raise ValueError("samples without a chunk")
-        before = np.cumsum(self.sizes) - self.sizes
+        before = np.cumsum(self.table_sizes) - self.table_sizes
         begins = np.minimum(np.cumsum(in_chunk) - in_chunk, n - 1)
         return self.chunks[chunk_of] + before - before[begins[chunk_of]]
 
-    def key_samples(self) -> np.ndarray:
-        return np.arange(len(self.sizes)) if self.sync is None else self.sync
+    def resolve(self) -> None:
+        """Samples of the tables, then of the fragments. Without a sync table each sample of the tables is a keyframe."""
+        at = self.table_offsets()
+        n = len(at)
+        keys = np.arange(n) if self.sync is None else self.sync[(self.sync >= 0) & (self.sync < n)]
+        sync = np.concatenate([np.isin(np.arange(n), keys), *(r[2] for r in self.runs)]).astype(bool)
+        self.at = np.concatenate([at, *(r[0] for r in self.runs)]).astype(np.int64)
+        self.sizes = np.concatenate([self.table_sizes[:n], *(r[1] for r in self.runs)]).astype(np.int64)
+        self.keys = np.flatnonzero(sync)
 
     def key_ranges(self) -> list[tuple[int, int]]:
-        """``(first byte, length)`` of each keyframe; without a sync table each sample is one."""
-        at, keys = self.offsets(), self.key_samples()
-        keys = keys[(keys >= 0) & (keys < len(at))]
-        return list(zip(at[keys].tolist(), self.sizes[keys].tolist(), strict=True))
+        """``(first byte, length)`` of each keyframe."""
+        return list(zip(self.at[self.keys].tolist(), self.sizes[self.keys].tolist(), strict=True))
 
     def seconds(self) -> float:
-        ticks = self.duration or sum(n * d for n, d in self.time_deltas)
+        if self.edited and self.movie_scale:
+            return self.edited / self.movie_scale
+        ticks = self.duration if self.duration and not self.runs else sum(n * d for n, d in self.time_deltas) + sum(r[3] for r in self.runs)
         return ticks / self.timescale if self.timescale else 0.0
 
 
@@ -142,6 +163,15 @@ def _read(track: Track, kind: bytes, data: memoryview, at: int, end: int) -> Non
     version = data[at] if at < end else 0
     if kind == b"mdhd":
         track.timescale, track.duration = struct.unpack_from(">IQ", data, at + 20) if version == 1 else struct.unpack_from(">II", data, at + 12)
+        if track.duration == (1 << (64 if version == 1 else 32)) - 1:
+            track.duration = 0  # unknown
+    elif kind == b"tkhd":
+        track.number = struct.unpack_from(">I", data, at + (20 if version == 1 else 12))[0]
+    elif kind == b"elst":
+        n, entry = struct.unpack_from(">I", data, at + 4)[0], ">QqI" if version == 1 else ">IiI"
+        if at + 8 + n * struct.calcsize(entry) > end:
+            raise ValueError("a table is longer than its box")
+        track.edited = sum(struct.unpack_from(entry, data, at + 8 + k * struct.calcsize(entry))[0] for k in range(n))
     elif kind == b"hdlr":
         track.handler = bytes(data[at + 8 : at + 12]).decode("latin-1")
     elif kind == b"stsd":
@@ -158,43 +188,111 @@ def _read(track: Track, kind: bytes, data: memoryview, at: int, end: int) -> Non
         size, n = struct.unpack_from(">II", data, at + 4)
         if n > MAX_SAMPLES:
             raise ValueError("too many samples")
-        track.sizes = np.full(n, size, np.int64) if size else _array(data, at + 12, end, ">u4", n)
+        track.table_sizes = np.full(n, size, np.int64) if size else _array(data, at + 12, end, ">u4", n)
     elif kind == b"stz2":
         bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
         if bits == 4:
             packed = _array(data, at + 12, end, "u1", (n + 1) // 2)
-            track.sizes = np.stack([packed >> 4, packed & 15], 1).ravel()[:n]
+            track.table_sizes = np.stack([packed >> 4, packed & 15], 1).ravel()[:n]
         else:
-            track.sizes = _array(data, at + 12, end, ">u2" if bits == 16 else "u1", n)
+            track.table_sizes = _array(data, at + 12, end, ">u2" if bits == 16 else "u1", n)
     elif kind in (b"stco", b"co64"):
         track.chunks = _array(data, at + 8, end, ">u4" if kind == b"stco" else ">u8", struct.unpack_from(">I", data, at + 4)[0])
 
 
+class Fragment:
+    """What holds inside one moof: its place, and of the current traf the track, its defaults and where data goes on."""
+
+    #: Flag bits of tfhd and trun (fixed values of the format), and the bit of a sample that is no sync sample.
+    BASE, ENTRY, DURATION, SIZE, FLAGS, FROM_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+    RUN_OFFSET, RUN_FIRST, RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+    NO_SYNC = 0x10000
+
+    def __init__(self, moof: int):
+        self.moof, self.track, self.defaults, self.base, self.goes_on = moof, None, (0, 0, 0), moof, moof
+
+    def tfhd(self, tracks: list[Track], data: memoryview, at: int) -> None:
+        flags, number = struct.unpack_from(">II", data, at)
+        self.track = next((t for t in tracks if t.number == number), None)
+        if self.track is None:
+            raise ValueError(f"a fragment of track {number}, which there is not")
+        own, at = list(self.track.defaults), at + 8
+        # without a base of its own the first traf counts from the moof, another one from where the last data ended
+        self.base = self.moof if flags & self.FROM_MOOF else self.goes_on
+        if flags & self.BASE:
+            self.base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+        if flags & self.ENTRY:
+            at += 4
+        for k, bit in enumerate((self.DURATION, self.SIZE, self.FLAGS)):
+            if flags & bit:
+                own[k], at = struct.unpack_from(">I", data, at)[0], at + 4
+        self.defaults, self.goes_on = tuple(own), self.base
+
+    def trun(self, data: memoryview, at: int, end: int) -> None:
+        if self.track is None:
+            raise ValueError("a run of samples without a track")
+        flags, n = struct.unpack_from(">II", data, at)
+        flags, at = flags & 0xFFFFFF, at + 8
+        begin = self.goes_on
+        if flags & self.RUN_OFFSET:
+            begin, at = self.base + struct.unpack_from(">i", data, at)[0], at + 4
+        first = None
+        if flags & self.RUN_FIRST:
+            first, at = struct.unpack_from(">I", data, at)[0], at + 4
+        fields = [bit for bit in (self.RUN_DURATION, self.RUN_SIZE, self.RUN_FLAGS, self.RUN_SHIFT) if flags & bit]
+        if n > MAX_SAMPLES:
+            raise ValueError("too many samples")
+        table = _array(data, at, end, ">u4", n * len(fields)).reshape(n, len(fields))
+        column = lambda bit, k: table[:, fields.index(bit)] if bit in fields else np.full(n, self.defaults[k], np.int64)
+        ticks, sizes, own = column(self.RUN_DURATION, 0), column(self.RUN_SIZE, 1), column(self.RUN_FLAGS, 2).copy()
+        if first is not None and n and self.RUN_FLAGS not in fields:
+            own[0] = first
+        self.goes_on = begin + int(sizes.sum())
+        self.track.runs.append((begin + np.cumsum(sizes) - sizes, sizes, own & self.NO_SYNC == 0, int(ticks.sum())))
+
+
 def describe(media: bytes) -> tuple[list[Track], list[str], str]:
     """``(tracks, paths of boxes, error or "")``."""
     data, tracks, paths = memoryview(media), [], []
+    extends: dict[int, tuple[int, int, int]] = {}
+    movie_scale, fragment = 0, None
 
     def walk(start: int, end: int, path: str, depth: int) -> None:
+        nonlocal movie_scale, fragment
         for kind, body, stop in boxes(data, start, end):
             name = f"{path}/{kind.decode('latin-1')}" if path else kind.decode("latin-1")
             paths.append(name)
             if kind == b"trak":
                 tracks.append(Track())
+            elif kind == b"moof":
+                for t in tracks:
+                    t.defaults = extends.get(t.number, t.defaults)
+                fragment = Fragment(start)
             if kind in CONTAINERS:
                 if depth >= MAX_DEPTH:
                     raise ValueError("boxes are nested too deeply")
                 walk(min(stop, body + CONTAINERS[kind]), stop, name, depth + 1)
+            elif kind == b"mvhd":
+                movie_scale = struct.unpack_from(">I", data, body + (20 if data[body] == 1 else 12))[0]
+            elif kind == b"trex":
+                number, _, *own = struct.unpack_from(">IIIII", data, body + 4)
+                extends[number] = tuple(own)
+            elif kind == b"tfhd" and fragment:
+                fragment.tfhd(tracks, data, body)
+            elif kind == b"trun" and fragment:
+                fragment.trun(data, body, stop)
             elif tracks and "/trak/" in name:
                 _read(tracks[-1], kind, data, body, stop)
+            start = stop
 
     try:
         if not media:
             raise ValueError("no boxes")
         walk(0, len(media), "", 0)
-        if "moof" in paths:
-            raise ValueError("movie fragments are not decoded")
         for t in tracks:
-            if len(at := t.offsets()) and (at.min() < 0 or (at + t.sizes[: len(at)]).max() > len(media)):
+            t.movie_scale = movie_scale
+            t.resolve()
+            if len(t.at) and (t.at.min() < 0 or (t.at + t.sizes).max() > len(media)):
                 raise ValueError("a sample lies outside the file")
     except (ValueError, struct.error, IndexError) as e:
         return tracks, paths, str(e) or type(e).__name__
@@ -203,7 +301,7 @@ def describe(media: bytes) -> tuple[list[Track], list[str], str]:
 
 def payload_of(media: bytes, track: Track) -> bytes:
     """The bytes of a track's samples, in order, found through its tables."""
-    at = track.offsets()
+    at = track.at
     if not len(at):
         return b""
     ends = at + track.sizes

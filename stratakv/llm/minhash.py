@@ -163,42 +163,44 @@ def links_in_blocks(torn: DataFrame, classes: DataFrame, texts: "Texts", percent
     inn = rows.select("band", "key", "id", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("o"), every.cast("int").alias("m"))
     sides = out.unionByName(inn).join(classes.select("id", "sig", "bands"), "id")
 
-    def left_over(group: pa.Table) -> pa.Table:
-        ids, comp, outside = (group.column(c).to_numpy() for c in ("id", "component", "outside"))
+    def survivors(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """An outsider, and the members of other components that its signature doesn't rule out, by their places."""
+        comp, outside = (group.column(c).to_numpy() for c in ("component", "outside"))
         band, sig = group.column("band")[0].as_py(), _matrix(group.column("sig"))
-        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(comp), BANDS)
         inside = np.flatnonzero(~outside)
-        a, others, comps = [], [], []
         for k in np.flatnonzero(outside).tolist():
             other = inside[(comp[inside] != comp[k]) & ((bands[inside] == bands[k]).argmax(1) == band)]
             other = other[_sequential(sig, sig, np.full(len(other), k), other, need)]
             if len(other):
-                a.append(int(ids[k]))
-                others.append(ids[other].tolist())
-                comps.append(comp[other].tolist())
-        place = [pa.array([group.column(c)[0].as_py()] * len(a), kind) for c, kind in (("key", pa.int64()), ("o", pa.int32()), ("m", pa.int32()))]
-        return pa.table([*place, pa.array(a, pa.int64()), pa.array(others, pa.list_(pa.int64())), pa.array(comps, pa.list_(pa.int64()))], ["key", "o", "m", "a", "others", "comps"])
-
-    def verify(pairs: pa.Table, members: pa.Table) -> pa.Table:
-        grams = {i: np.frombuffer(g, np.uint64) for i, g in zip(members.column("id").to_pylist(), members.column("grams").to_pylist(), strict=True)}
+                yield k, other
+
+    def left_over(group: pa.Table) -> pa.Table:
+        """The members that are in any pair that survives, once each: pairs are not listed."""
+        stay = np.zeros(group.num_rows, bool)
+        for k, other in survivors(group):
+            stay[k] = stay[other] = True
+        return group.select(member).filter(pa.array(stay))
+
+    def verify(group: pa.Table) -> pa.Table:
+        ids, comp = group.column("id").to_numpy(), group.column("component").to_numpy()
+        grams = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
+        size = np.array([len(g) for g in grams])
         a, b = [], []
-        for i, others, comps in zip(pairs.column("a").to_pylist(), pairs.column("others").to_pylist(), pairs.column("comps").to_pylist(), strict=True):
-            own, other, comp = grams[i], np.array(others), np.array(comps)
-            size = np.array([len(grams[j]) for j in others])
-            flat = np.concatenate([grams[j] for j in others])
-            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(size) - size)
-            linked = np.flatnonzero(100 * both >= percent * (len(own) + size - both))
+        for k, other in survivors(group):
+            flat = np.concatenate([grams[i] for i in other])
+            at = np.minimum(np.searchsorted(grams[k], flat), size[k] - 1)
+            both = np.add.reduceat((grams[k][at] == flat).astype(np.int64), np.cumsum(size[other]) - size[other])
+            linked = other[100 * both >= percent * (size[k] + size[other] - both)]
             _, one = np.unique(comp[linked], return_index=True)
-            a += [i] * len(one)
-            b += other[linked[one]].tolist()
+            a += [int(ids[k])] * len(one)
+            b += ids[linked[one]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    pairs = materialize(sides.groupBy("key", "o", "m").applyInArrow(left_over, "key long, o int, m int, a long, others array<long>, comps array<long>"))
-    needed = materialize(pairs.select("key", "o", "m", F.explode(F.concat(F.array("a"), "others")).alias("id")).distinct())
-    sets = materialize(_with_sets(texts.of(needed.select("id").distinct())))
-    group = ("key", "o", "m")
-    return pairs.groupBy(*group).cogroup(needed.join(sets, "id").groupBy(*group)).applyInArrow(verify, "a long, b long")
+    member = ["band", "key", "id", "component", "outside", "o", "m"]
+    left = materialize(sides.groupBy("key", "o", "m").applyInArrow(left_over, "band int, key long, id long, component long, outside boolean, o int, m int"))
+    sets = materialize(_with_sets(texts.of(left.select("id").distinct())).join(classes, "id").select("id", "grams", "sig", "bands"))
+    return left.join(sets, "id").groupBy("key", "o", "m").applyInArrow(verify, "a long, b long")
 
 
 def _with_sets(texts: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tiers in the order in which they answer.
@@ -58,17 +58,23 @@ def promoted(found: DataFrame, memory: DataFrame) -> DataFrame:
     return memory.select("key", "value", "created_at").unionByName(fresh)
 
 
+def _bytes(entries: DataFrame) -> Column:
+    """The sum of the values' sizes; a ``size`` column spares the scan of the values."""
+    size = F.col("size") if "size" in entries.columns else F.octet_length("value")
+    return F.coalesce(F.sum(size), F.lit(0)).cast("long")
+
+
 def usage(entries: DataFrame, max_bytes: int, threshold: float = 80.0, cache_only: bool = False) -> DataFrame:
     """``entries, bytes, usage_percent, migrate, pressure``: logical bytes of the values against the limit.
 
     The trigger holds from the threshold on (unless only caching); pressure only above 80 %.
     """
-    sums = entries.agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).cast("long").alias("bytes"))
+    sums = entries.agg(F.count("*").alias("entries"), _bytes(entries).alias("bytes"))
     percent = F.col("bytes") * 100.0 / F.lit(max_bytes) if max_bytes else F.lit(0.0)
     return sums.withColumn("usage_percent", percent).withColumn("migrate", (F.col("usage_percent") >= threshold) & F.lit(not cache_only)).withColumn("pressure", F.col("usage_percent") > 80.0)
 
 
 def engine_stats(memory: DataFrame, disk: DataFrame, objects: DataFrame, migrations: int = 0) -> DataFrame:
     """One row of counters over the three tiers."""
-    size = lambda df, n: df.agg(F.count("*").alias(f"{n}_entries"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).cast("long").alias(f"{n}_bytes"))
+    size = lambda df, n: df.agg(F.count("*").alias(f"{n}_entries"), _bytes(df).alias(f"{n}_bytes"))
     return size(memory, "memory").crossJoin(size(disk, "disk")).crossJoin(size(objects, "object")).withColumn("migrations_completed", F.lit(migrations).cast("long"))

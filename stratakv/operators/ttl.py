@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratakv.functions.codec import read_metadata
 from stratakv.sources.oplog import age_over
 
 Rules = list[tuple[str, int]]
@@ -38,6 +39,12 @@ def expired_keys(entries: DataFrame, rules: Rules, as_of: datetime | str) -> Dat
     return entries.where(expired(rules, as_of)).select("key", F.when(own, "own").otherwise("rule").alias("reason"))
 
 
+def expired_records(records: DataFrame, rules: Rules, as_of: datetime | str) -> DataFrame:
+    """``expired_keys`` of ``key, raw``: stored records, whose values are not decoded. Records that can't be read stay."""
+    meta = records.select("key", read_metadata("raw").alias("m")).where("m.error is null")
+    return expired_keys(meta.select("key", "m.*"), rules, as_of)
+
+
 def sweep(tiers: dict[str, DataFrame], rules: Rules, as_of: datetime | str, all_tiers: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
     """Tiers without expired keys, and these keys.
 

@@ -23,6 +23,7 @@ BLOB_BYTES = 4_096
 PEERS = 3
 #: User numbers whose keys' hashes the SQL side carries as constants (the hash itself is pinned by golden values).
 SQL_USERS = 2_048
+SIMULATED = 10_000
 
 PRELUDE = """
 WITH oplog AS (SELECT event_id + 1 AS seq, ts, CASE WHEN event_type IN ('signup', 'purchase') THEN 'put' WHEN event_type = 'error' THEN 'delete' ELSE 'get' END AS op,
@@ -280,22 +281,38 @@ def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- sharding --------------------------------------------------------------------------------------------------
 
 
-def _ring_sql() -> str:
+def _points_sql() -> str | None:
+    """The ring's points as a table; None without the hash's package, as there is no sharding then."""
+    try:
+        points, shards = ring.Ring(SHARDS).points
+    except ImportError:
+        return None
+    return "p(point, shard) AS (VALUES " + ", ".join(f"({x}::UBIGINT, {s})" for x, s in zip(points.tolist(), shards.tolist(), strict=True)) + ")"
+
+
+#: The shard of a hash ``h``: that of the next point, or of the first one.
+ROUTE = "coalesce(p.shard, (SELECT arg_min(shard, point) FROM p))"
+
+
+def _ring_sql() -> str | None:
+    if (points := _points_sql()) is None:
+        return None
     from stratakv.functions.xxh3 import xxh3
 
-    points, shards = ring.Ring(SHARDS).points
     keys = [("app/", "tmp/", "keep/")[u % 3] + str(u) for u in range(SQL_USERS)]
-    return (
-        ", p(point, shard) AS (VALUES " + ", ".join(f"({x}::UBIGINT, {s})" for x, s in zip(points.tolist(), shards.tolist(), strict=True))
-        + "), k(key, h) AS (VALUES " + ", ".join(f"('{k}', {xxh3(k)}::UBIGINT)" for k in keys)
-        + "), routed AS (SELECT key, coalesce(p.shard, (SELECT arg_min(shard, point) FROM p)) AS shard_id FROM (SELECT key, h FROM keys JOIN k USING (key)) q ASOF LEFT JOIN p ON q.h <= p.point)"
-    )
+    return f", {points}, k(key, h) AS (VALUES " + ", ".join(f"('{k}', {xxh3(k)}::UBIGINT)" for k in keys) + f"), routed AS (SELECT key, {ROUTE} AS shard_id FROM (SELECT key, h FROM keys JOIN k USING (key)) q ASOF LEFT JOIN p ON q.h <= p.point)"
+
+
+def _simulated_sql() -> str | None:
+    if (points := _points_sql()) is None:
+        return None
+    from stratakv.functions.xxh3 import xxh3
+
+    hashes = ", ".join(str(xxh3(f"test-key-{i}")) for i in range(SIMULATED))
+    return f"WITH {points}, q AS (SELECT unnest([{hashes}]::UBIGINT[]) AS h) SELECT {ROUTE} AS shard_id, count(*) AS n_keys FROM q ASOF LEFT JOIN p ON q.h <= p.point GROUP BY 1"
 
 
-try:
-    RING_SQL: str | None = _ring_sql()
-except ImportError:  # without the hash's package there is no sharding
-    RING_SQL = None
+RING_SQL = _ring_sql()
 
 
 def with_ring(sql: str) -> str | None:
@@ -312,14 +329,14 @@ def owned_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_of_keys(spark, sf_dir).where("shard_id = 0").select("key")
 
 
-@query("q23_ring_distribution", "SELECT shard_id::INT AS shard_id, 150::BIGINT AS points, 150 * 100.0::DOUBLE / 450 AS percent FROM range(3) t(shard_id)", "")
+@query("q23_ring_distribution", _points_sql() and f"WITH {_points_sql()} SELECT shard AS shard_id, count(*) AS points, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM p) AS percent FROM p GROUP BY shard", "")
 def ring_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.Ring(SHARDS).distribution(spark)
 
 
-@query("q23b_simulate_distribution", "SELECT * FROM (VALUES (0, 3773::BIGINT), (1, 3255::BIGINT), (2, 2972::BIGINT)) t(shard_id, n_keys)", "")
+@query("q23b_simulate_distribution", _simulated_sql(), "")
 def simulate_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ring.Ring(SHARDS).simulate(spark, 10_000)
+    return ring.Ring(SHARDS).simulate(spark, SIMULATED)
 
 
 @query("q24_shard_addresses", with_ring(" SELECT key, shard_id, CASE shard_id WHEN 0 THEN 'localhost:9000' WHEN 1 THEN 'localhost:9001' END AS address FROM routed"))

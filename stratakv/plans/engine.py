@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.functions.codec import embed_text, object_key
+from stratakv.functions.codec import embed_text, object_key, packed
 from stratakv.operators import migrate as moving
 from stratakv.operators import tiers, ttl
 from stratakv.operators.lru import Cache
@@ -17,7 +17,7 @@ from stratakv.plans.config import StoreConfig
 from stratakv.session import materialize, prepare
 from stratakv.sources.objects import Backend, MemoryBackend
 from stratakv.sources.oplog import ENTRY
-from stratakv.sources.versions import VersionedTable
+from stratakv.sources.versions import PackedTable
 
 VERSION = "0.1.0"
 MAX_BODY_BYTES = 64 << 20
@@ -31,6 +31,8 @@ class WrongShard(ValueError):
 class Engine:
     """Disk entries in a versioned table, objects in a backend, a cache of keys on the driver (bounded by its limits).
 
+    Values are stored compressed in both tiers, and the cache counts their compressed sizes; keys and values may be any bytes.
+
     Every time is given (``as_of``), so a run can be repeated. Writes are batches: one new segment of the table each.
     What a batch returns is written to the scratch folder first, as old segments go.
     """
@@ -44,7 +46,7 @@ class Engine:
 
     def __post_init__(self) -> None:
         prepare(self.spark)
-        self.disk = VersionedTable(self.spark, f"{self.path}/disk", ENTRY)
+        self.disk = PackedTable(self.spark, f"{self.path}/disk", ENTRY)
         self.objects = self.objects or MemoryBackend(self.spark)
         self.cache = Cache(self.config.memory_bytes, self.config.memory_entries)
         self.ring = Ring(self.config.total_shards, self.config.virtual_nodes)
@@ -52,7 +54,7 @@ class Engine:
     # -- batches -------------------------------------------------------------------------------------------
 
     def _object_rows(self) -> DataFrame:
-        return self.objects.objects().select(F.col("original_key").alias("key"), "value", "created_at")
+        return self.objects.objects().select(F.col("original_key").alias("key"), "value", "created_at", F.col("size_bytes").alias("size"))
 
     def _tiers(self) -> dict[str, DataFrame]:
         lower = {"disk": self.disk.read(), "object": self._object_rows()}
@@ -62,15 +64,17 @@ class Engine:
         return {"memory": held} | lower
 
     def put_batch(self, rows: DataFrame, as_of: str) -> DataFrame:
-        """``rows``: ``key, value`` and perhaps ``ttl_secs``, each key once (else the batch is refused). Returns ``key, previous``."""
+        """``rows``: ``key, value`` and perhaps ``ttl_secs``, each key once (else the batch is refused). Returns ``key, previous, previous_created_at, previous_updated_at, previous_ttl_secs``: the entry that each one replaces, or nulls."""
         ttl_secs = F.col("ttl_secs").cast("long") if "ttl_secs" in rows.columns else F.lit(None).cast("long")
         now = ttl.moment(as_of)
-        fresh = rows.select("key", "value", now.alias("created_at"), now.alias("updated_at"), ttl_secs.alias("ttl_secs"))
-        old = self.disk.read()
-        replaced = materialize(fresh.select("key").join(old.select("key", F.col("value").alias("previous")), "key", "left"))
+        fresh = rows.select(F.col("key").cast("string").alias("key"), "value", now.alias("created_at"), now.alias("updated_at"), ttl_secs.alias("ttl_secs"))
+        replaced = materialize(fresh.select("key").join(self._previous(), "key", "left"))
         self.disk.apply(upserts=fresh)
         return replaced
 
+    def _previous(self) -> DataFrame:
+        return self.disk.read().select("key", F.col("value").alias("previous"), *[F.col(c).alias(f"previous_{c}") for c in ("created_at", "updated_at", "ttl_secs")])
+
     def get_batch(self, keys: DataFrame) -> DataFrame:
         return tiers.lookup(keys, self._tiers())
 
@@ -78,8 +82,9 @@ class Engine:
         return tiers.contains(keys, self._tiers())
 
     def delete_batch(self, keys: DataFrame) -> DataFrame:
-        """``key, deleted``; the keys go from every tier, the cache included."""
-        marks = materialize(tiers.delete_everywhere(keys, {"disk": self.disk.read(), "object": self._object_rows()})[1])
+        """``key, deleted`` and the entry that was on disk, as in ``put_batch``; the keys go from every tier, the cache included."""
+        marks = tiers.delete_everywhere(keys, {"disk": self.disk.read(), "object": self._object_rows()})[1]
+        marks = materialize(marks.join(self._previous(), "key", "left"))
         self.disk.apply(deletes=marks.where("deleted"))
         self.objects.delete(keys.select(F.concat(F.lit(self.config.object_prefix), object_key(F.col("key"))).alias("object_key")))
         self._forget(marks.select("key"))
@@ -141,7 +146,7 @@ class Engine:
         row = self.get_batch(self.spark.createDataFrame([(key,)], "key string")).first()
         if row is None or row.tier is None:
             return None
-        self.cache.put(key, len(row.value.encode()))
+        self.cache.put(key, len(packed(row.value.encode())))
         return {"key": key, "value": row.value, "tier": row.tier}
 
     def handle(self, method: str, path: str, body: str = "", as_of: str = "1970-01-01 00:00:00") -> tuple[int, dict]:
@@ -189,7 +194,7 @@ class Engine:
         except (ValueError, KeyError, TypeError, AttributeError) as e:
             return 422, {"error": str(e), "code": "BAD_REQUEST"}
         self.put_batch(self.spark.createDataFrame([(key, value, secs)], "key string, value string, ttl_secs long"), as_of)
-        self.cache.put(key, len(value.encode()))
+        self.cache.put(key, len(packed(value.encode())))
         return 201, {"key": key, "message": "Created"}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratakv.session import scratch_dir
-from stratakv.sources.versions import VersionedTable
+from stratakv.sources.versions import PackedTable
 
 OBJECT = T.StructType([T.StructField("object_key", T.StringType()), T.StructField("value", T.StringType()), T.StructField("size_bytes", T.LongType()), T.StructField("created_at", T.TimestampNTZType()), T.StructField("original_key", T.StringType()), T.StructField("content_type", T.StringType())])
 OCTETS = "application/octet-stream"
@@ -42,13 +42,13 @@ class Backend(ABC):
 
 
 class ParquetBackend(Backend):
-    """Objects as a versioned table on any Hadoop file system (local, abfss, s3a, ...)."""
+    """Objects as a versioned table on any Hadoop file system (local, abfss, s3a, ...), values compressed."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.table = VersionedTable(spark, path, OBJECT, "object_key")
+        self.table = PackedTable(spark, path, OBJECT, "object_key")
 
     def objects(self) -> DataFrame:
-        return self.table.read()
+        return self.table.read().drop("size")
 
     def put(self, rows: DataFrame) -> None:
         self.table.apply(upserts=rows)
@@ -89,8 +89,9 @@ class ObjectTier:
         return rows.withColumn("key", F.expr(f"substring(object_key, {len(self.prefix) + 1})")).drop("object_key")
 
     def put(self, rows: DataFrame, created_at: str, content_type: str = OCTETS) -> None:
-        """``rows``: ``key, value``; metadata are filled in."""
-        self.backend.put(rows.select(F.concat(F.lit(self.prefix), F.col("key")).alias("object_key"), "value", F.octet_length("value").cast("long").alias("size_bytes"), F.lit(created_at).cast("timestamp_ntz").alias("created_at"), F.col("key").alias("original_key"), F.lit(content_type).alias("content_type")))
+        """``rows``: ``key, value`` and perhaps ``content_type``, ``original_key``, ``created_at``; what a row doesn't give is filled in."""
+        given = lambda name, default: F.coalesce(F.col(name), default) if name in rows.columns else default
+        self.backend.put(rows.select(F.concat(F.lit(self.prefix), F.col("key")).alias("object_key"), "value", F.octet_length("value").cast("long").alias("size_bytes"), given("created_at", F.lit(created_at).cast("timestamp_ntz")).alias("created_at"), given("original_key", F.col("key")).alias("original_key"), given("content_type", F.lit(content_type)).alias("content_type")))
 
     def get(self, keys: DataFrame) -> DataFrame:
         return self._bare(self.backend.get(self._full(keys)))

@@ -15,7 +15,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
+
+from stratakv.functions import codec
 
 #: Batches until the table is compacted; most rows of all batches that are broadcast when read (keys, and numbers).
 BATCHES, BROADCAST_ROWS = 8, 1_000_000
@@ -79,7 +81,11 @@ class VersionedTable:
     # -- reading -------------------------------------------------------------------------------------------
 
     def read(self) -> DataFrame:
-        """The rows as they are now. The base is only filtered (not shuffled while the batches' keys are few)."""
+        """The rows as they are now."""
+        return self._fold()
+
+    def _fold(self) -> DataFrame:
+        """The rows as they are stored. The base is only filtered (not shuffled while the batches' keys are few)."""
         segments = self.manifest()["segments"]
         if not segments:
             return self.spark.createDataFrame([], self.schema)
@@ -97,6 +103,9 @@ class VersionedTable:
 
     # -- writing -------------------------------------------------------------------------------------------
 
+    def _stored_form(self, rows: DataFrame) -> DataFrame:
+        return rows
+
     def _write(self, number: int, rows: DataFrame) -> int:
         """Clustered by key, so that row-group statistics serve point reads; how many rows it has."""
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
@@ -114,7 +123,7 @@ class VersionedTable:
             m = self.manifest()
         parts = []
         if upserts is not None:
-            parts.append(upserts.select(*[f.name for f in self.schema]).withColumn("_gone", F.lit(False)))
+            parts.append(self._stored_form(upserts).select(*[f.name for f in self.schema]).withColumn("_gone", F.lit(False)))
         if deletes is not None:
             keys = deletes.select(self.key).distinct()
             keys = keys if upserts is None else keys.join(upserts.select(self.key), self.key, "left_anti")
@@ -139,10 +148,29 @@ class VersionedTable:
         """A new base; segments that an earlier compaction put aside go, the ones of the last stay for their readers."""
         m = self.manifest()
         n = m["next"]
-        count = self._write(n, self.read().withColumn("_n", F.lit(n)).withColumn("_gone", F.lit(False)))
+        count = self._write(n, self._fold().withColumn("_n", F.lit(n)).withColumn("_gone", F.lit(False)))
         old = [*m["old"], [k for k, _ in m["segments"]]]
         self._replace(m, next=n + 1, segments=[[n, count]], old=old[-KEEP:])
         for numbers in old[:-KEEP]:
             for k in numbers:
                 fs, p = self._fs(f"s{k}")
                 fs.delete(p, True)
+
+
+class PackedTable(VersionedTable):
+    """A table whose ``value`` is stored as a zstd frame beside its ``size`` before compression.
+
+    Reading inflates values only where a plan asks for them; sizes and the other columns are read without. Values
+    may be any bytes: text comes back as it is, ``cast('binary')`` gives the bytes of others.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "key"):
+        fields = [StructField("value", BinaryType()) if f.name == "value" else f for f in schema]
+        super().__init__(spark, path, StructType([*fields, StructField("size", LongType())]), key)
+
+    def _stored_form(self, rows: DataFrame) -> DataFrame:
+        raw = F.col("value").cast("binary")
+        return rows.withColumn("size", F.octet_length(raw).cast("long")).withColumn("value", codec.compress(raw))
+
+    def read(self) -> DataFrame:
+        return self._fold().withColumn("value", codec.decompress(F.col("value")).cast("string"))

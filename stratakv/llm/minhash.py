@@ -146,7 +146,7 @@ def _sequential(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, need
 
 
 def links_in_blocks(torn: DataFrame, classes: DataFrame, texts: "Texts", percent: int) -> DataFrame:
-    """Links ``(a, b)`` between components in buckets ``(band, key, id, component)``, outsiders against all.
+    """Links ``(a, b)`` between components ``(ca, cb)`` in buckets ``(band, key, id, component)``, outsiders against all.
 
     Outsiders are the members that are not in the bucket's largest component. Both sides are dealt into blocks, and
     each pair of blocks is a group of its own, of a bounded size: there signatures go through the sequential test, and
@@ -186,21 +186,22 @@ def links_in_blocks(torn: DataFrame, classes: DataFrame, texts: "Texts", percent
         ids, comp = group.column("id").to_numpy(), group.column("component").to_numpy()
         grams = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
         size = np.array([len(g) for g in grams])
-        a, b = [], []
+        a, b = [], []  # places in the group
         for k, other in survivors(group):
             flat = np.concatenate([grams[i] for i in other])
             at = np.minimum(np.searchsorted(grams[k], flat), size[k] - 1)
             both = np.add.reduceat((grams[k][at] == flat).astype(np.int64), np.cumsum(size[other]) - size[other])
             linked = other[100 * both >= percent * (size[k] + size[other] - both)]
             _, one = np.unique(comp[linked], return_index=True)
-            a += [int(ids[k])] * len(one)
-            b += ids[linked[one]].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            a += [k] * len(one)
+            b += linked[one].tolist()
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.table({"a": ids[a], "b": ids[b], "ca": comp[a], "cb": comp[b]})
 
     member = ["band", "key", "id", "component", "outside", "o", "m"]
     left = materialize(sides.groupBy("key", "o", "m").applyInArrow(left_over, "band int, key long, id long, component long, outside boolean, o int, m int"))
     sets = materialize(_with_sets(texts.of(left.select("id").distinct())).join(classes, "id").select("id", "grams", "sig", "bands"))
-    return left.join(sets, "id").groupBy("key", "o", "m").applyInArrow(verify, "a long, b long")
+    return left.join(sets, "id").groupBy("key", "o", "m").applyInArrow(verify, "a long, b long, ca long, cb long")
 
 
 def _with_sets(texts: DataFrame) -> DataFrame:
@@ -258,14 +259,21 @@ def near_duplicate_links(classes: DataFrame, texts: Texts, percent: int = PERCEN
     pairs = left.join(right, "key").where("a < b").select("a", "b").unionByName(stars.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")))
     tried = materialize(promising(pairs.distinct(), classes, percent / 100))
     links = materialize(verified(tried, texts, percent))
-    comp = materialize(components(links))
+    comp = components(links)
     labelled = large.select("band", "key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
     keys = materialize(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"))
     torn = materialize(labelled.join(keys, "key", "left_semi"))
     if torn.isEmpty():
         return links, comp
-    links = materialize(links.unionByName(links_in_blocks(torn, classes, texts, percent)))
-    return links, materialize(components(links))
+    more = materialize(links_in_blocks(torn, classes, texts, percent))
+    return links.unionByName(more.select("a", "b")), joined_up(comp, components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+
+
+def joined_up(comp: DataFrame, merged: DataFrame) -> DataFrame:
+    """``comp (node, component)`` after ``merged``, the same for components; one with a single node need not be in ``comp``."""
+    alone = merged.join(comp, "node", "left_anti")
+    again = small_enough(merged.select(F.col("node").alias("component"), F.col("component").alias("root")))
+    return materialize(comp.join(again, "component", "left").select("node", F.coalesce("root", "component").alias("component")).unionByName(alone))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

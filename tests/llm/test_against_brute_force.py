@@ -452,3 +452,15 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     rows = [(1, "some words that are said twice here", "en", "a", 30), (1, "some words that are said twice here", "en", "a", 30), (2, "other words that are said only once", "en", "a", 30), (None, "no id at all in this row", "en", "a", 20)]
     got = p.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert sorted(map(repr, (r.doc_id for r in got.collect()))) == ["1", "2", "None"]
+
+
+def test_components_of_components(spark):
+    r = random.Random(6)
+    first = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(150)]
+    comp = components(spark.createDataFrame(first, "a long, b long"))
+    label = {x.node: x.component for x in comp.collect()}
+    more = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(60)]
+    between = [(label.get(a, a), label.get(b, b)) for a, b in more]
+    got = minhash.joined_up(comp, components(spark.createDataFrame(between, "a long, b long")))
+    want = components(spark.createDataFrame(first + more, "a long, b long"))
+    assert sorted(got.collect()) == sorted(want.collect())

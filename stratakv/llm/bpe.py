@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.common import keyed_text, prepare, texts_of
+from stratakv.llm.common import KEPT, keyed_text, lean, prepare, texts_of
 
 POS_BITS = 28
 NONE = np.int64(1) << 62
@@ -323,6 +323,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+KEPT["bpe"] = codec.cache_clear
+
+
 def runs(texts: list[str], limit: int = 500_000) -> Iterator[list[str]]:
     """Consecutive texts of about ``limit`` characters, so that memory follows the limit and not the batch."""
     part: list[str] = []
@@ -357,7 +360,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 first += len(part)
 
     prepare(docs.sparkSession)
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long" + "".join(f", {o} {kinds[o][0]}" for o in outputs))
+    return keyed_text(docs, id_col, text_col).mapInArrow(lean(run, "bpe"), "doc_id long, n_tokens long" + "".join(f", {o} {kinds[o][0]}" for o in outputs))
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -369,4 +372,4 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "decoded"])
 
     prepare(encoded.sparkSession)
-    return encoded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids")).mapInArrow(run, "doc_id long, decoded string")
+    return encoded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids")).mapInArrow(lean(run, "bpe"), "doc_id long, decoded string")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratakv.session import materialize, prepare, scratch_dir, table
 
-__all__ = ["byte_slices", "keyed_text", "materialize", "prepare", "scratch_dir", "spread_table", "table", "text_bytes", "texts_of"]
+__all__ = ["byte_slices", "keyed_text", "lean", "materialize", "prepare", "scratch_dir", "spread_table", "table", "text_bytes", "texts_of"]
 
 #: Bytes of text that one numpy pass works on; bounds memory whatever the batch holds.
 SLICE_BYTES = 500_000
@@ -58,3 +59,38 @@ def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         last = min(last, n)
         yield first, last, data[offs[first] : offs[last]], offs[first : last + 1] - offs[first]
         first = last
+
+
+#: What operators keep in a worker from task to task, by operator: how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def drop_others(own: str) -> None:
+    for name, drop in KEPT.items():
+        if name != own:
+            drop()
+
+
+def give_back() -> None:
+    """Hand memory that is free but still held by the allocators back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], own: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` in a worker that holds no tables of operators but ``own``, and no free memory once the task has ended.
+
+    Workers outlive tasks and stages: what one operator leaves in them would stand beside the JVM's memory in all later
+    stages, those without Python too.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(own)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.common import keyed_text, materialize, prepare
+from stratakv.llm.common import keyed_text, lean, materialize, prepare
 from stratakv.llm.components import components, small_enough
 from stratakv.llm.shingles import mix, shingle_sets, signature
 
@@ -102,7 +102,7 @@ def sketches(texts: DataFrame) -> DataFrame:
                     done = k
             yield flush(done, k, batch)
 
-    return texts.select("doc_id", "text", "t1", "t2").mapInArrow(run, "doc_id long, t1 long, t2 long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>")
+    return texts.select("doc_id", "text", "t1", "t2").mapInArrow(lean(run), "doc_id long, t1 long, t2 long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>")
 
 
 def numbered(sketched: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def promising(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
 
     sigs = classes.select("id", "sig")
     two = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    return two.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -211,7 +211,7 @@ def _with_sets(texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g.tobytes() for g in shingle_sets(batch.column(1))], pa.binary())], ["id", "grams"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, grams binary")
+    return texts.select("id", "text").mapInArrow(lean(run), "id long, grams binary")
 
 
 class Texts:
@@ -240,7 +240,7 @@ def verified(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
 
     wanted = texts.of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     two = pairs.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicate_links(classes: DataFrame, texts: Texts, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

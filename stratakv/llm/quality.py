@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.common import byte_slices, keyed_text, prepare
+from stratakv.llm.common import byte_slices, keyed_text, lean, prepare
 
 BUCKETS = 2048
 #: Bins of each shape measure, and how strongly their terms count against the trigrams.
@@ -135,7 +135,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], ["term", "n"])
 
     out = np.zeros(TERMS + 1, np.int64)
-    for r in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(lean(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r.term] = r.n
     return out[:-1], int(out[-1])
 
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, dims
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), pa.array([x.astype(np.float16).tobytes() for x in counts], pa.binary())], ["doc_id", "label", "counts"])
 
     sample = F.broadcast(labelled_sample(labels, sample_rows))  # two numbers for each of at most sample_rows ids
-    each = docs.join(sample, "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label double, counts binary")
+    each = docs.join(sample, "doc_id").select("doc_id", "text", "label").mapInArrow(lean(run), "doc_id long, label double, counts binary")
     # one text of an id is enough: of several, the least, chosen before anything reaches the driver
     got = each.groupBy("doc_id", "label").agg(F.min("counts").alias("counts")).toPandas().sort_values("doc_id").reset_index(drop=True)
     if not len(got):
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for first, last, counts in _counts_of(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(m.scores(counts), pa.float64())], ["doc_id", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -194,7 +194,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: s
                 yield batch.slice(first, last - first).filter(pa.array(m.scores(counts) >= threshold))
 
     prepare(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -1,6 +1,7 @@
 """The store's operators on small literal inputs."""
 
 from datetime import datetime
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,6 +187,54 @@ def test_read_through(spark):
     assert [r.hit for r in rows] == [False, True, False, False]
 
 
+def test_no_task_has_the_whole_log(spark):
+    """One shard's log is dealt over tasks, with the hits of one pass over it: distances in a cycle of 20 keys hit, others miss."""
+    n = 500_000
+    key = F.when(F.col("id") % 1000 < 500, F.col("id") % 20).otherwise(F.col("id") % 400 + 100).cast("string")
+    hits = lru.touches(spark.range(n).select((F.col("id") + 1).alias("seq"), key.alias("key")), 20)
+    tasks = hits.groupBy(F.spark_partition_id()).agg(F.count("*").alias("rows"), F.count_if("hit").alias("hits")).collect()
+    assert sum(r.rows for r in tasks) == n and sum(r.hits for r in tasks) == 500 * 480
+    assert max(r.rows for r in tasks) < n / 2
+
+
+def cached(log, *limits, read_through=False):
+    """``log`` of ``(shard, seq, op, key, size)`` through plain caches, one for each shard."""
+    caches, out = {}, []
+    for s, seq, op, key, size in sorted(log, key=lambda r: r[:2]):
+        c = caches.setdefault(s, lru.Cache(*limits))
+        hit, evicted = c.step(op, key, -1 if size is None else size, read_through)
+        out.append((s, seq, op, key, hit, evicted, len(c.held), c.size, c.hits, c.misses))
+    return out
+
+
+@pytest.mark.parametrize(("limits", "keys", "read_through"), [((60,), 40, False), ((60,), 40, True), ((1 << 62, 20), 40, True), ((1 << 62, 20), 21, True), ((1 << 62,), 300, False)])
+def test_chunks_go_on_from_each_other(spark, monkeypatch, limits, keys, read_through):
+    """Also where hardly anything is evicted, so that each chunk's end depends on those of all before it."""
+    monkeypatch.setattr(lru, "CHUNK", 100)
+    random = Random(7)
+    log = [(random.choice([0, 0, 0, 2, 5]), i, random.choice(["get"] * 8 + ["put"] * 6 + ["delete", "contains"]) if i % 400 else "clear", f"k{int(keys * random.random() ** 3)}", random.choice([None, 0, 3, 9, 70])) for i in range(1, 1501)]
+    got = lru.simulate(spark.createDataFrame(log, "shard int, seq long, op string, key string, size long"), *limits, read_through=read_through).orderBy("shard", "seq").collect()
+    assert [tuple(r) for r in got] == cached(log, *limits, read_through=read_through)
+
+
+@pytest.mark.parametrize("entries", [0, 1, 3, 8])
+def test_touches_in_chunks(spark, monkeypatch, entries):
+    """Chunks with fewer keys than the cache holds, in which what was held before lives on, and others."""
+    monkeypatch.setattr(lru, "CHUNK", 100)
+    random = Random(3)
+    log = [(random.randrange(2), i, "get", f"k{int(random.choice([2, 12]) * random.random()) if i // 150 % 2 else i // 300}", 0) for i in range(1200)]
+    got = lru.touches(spark.createDataFrame(log, "shard int, seq long, op string, key string, size long"), entries).orderBy("seq").collect()
+    assert [tuple(r) for r in got] == sorted((seq, key, hit) for _, seq, _, key, hit, *_ in cached(log, 1 << 62, entries, read_through=True))
+
+
+def test_chunks_that_wait_for_each_other(spark, monkeypatch):
+    """A cache that never turns over: the start of every chunk is known only after all before, most are played one by one."""
+    monkeypatch.setattr(lru, "CHUNK", 20)
+    log = [(0, i, "put", f"k{i}", 1) if i % 20 < 2 else (0, i, "get", f"k{i % 240}", 1) for i in range(240)]
+    got = lru.simulate(spark.createDataFrame(log, "shard int, seq long, op string, key string, size long"), 1 << 62).orderBy("seq").collect()
+    assert [tuple(r) for r in got] == cached(log, 1 << 62)
+
+
 def test_hit_rate_without_accesses(spark):
     assert lru.hit_rate(spark.createDataFrame([], "hit boolean")).first().hit_rate == 0.0
 

@@ -235,6 +235,15 @@ def test_chunks_that_wait_for_each_other(spark, monkeypatch):
     assert [tuple(r) for r in got] == cached(log, 1 << 62)
 
 
+def test_hit_rate_reads_no_whole_log(spark):
+    """The sums come from several tasks: before, one held all of the log."""
+    log = spark.range(300_000).select((F.col("id") + 1).alias("seq"), (F.col("id") % 30 * (F.col("id") % 60 < 30).cast("int")).cast("string").alias("key"))
+    hits = lru.touches(log, 20)
+    assert hits.select(F.spark_partition_id()).distinct().count() > 1
+    # of 60 accesses the 29 other keys miss, and key 0 once after them; the very first access misses too
+    assert tuple(lru.hit_rate(hits).first())[:2] == (5_000 * 30 - 1, 5_000 * 30 + 1)
+
+
 def test_hit_rate_without_accesses(spark):
     assert lru.hit_rate(spark.createDataFrame([], "hit boolean")).first().hit_rate == 0.0
 
